@@ -80,7 +80,7 @@ def weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str
     return smooth(target) - smooth(raw) if target.sum() else np.zeros(BUCKETS)
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
     llr is the mean log-likelihood ratio of the document's hashed word unigrams and bigrams between two multinomials: the
