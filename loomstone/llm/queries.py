@@ -9,6 +9,7 @@ from .anchor_dedup import anchor_dedup
 from .best_fit import best_fit
 from .decontam import decontaminate
 from .llr_rules import quality_rules
+from .parity_join import jaccard_join
 from .tables import read
 
 QUERIES: dict = {}
@@ -73,3 +74,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@_register
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_parity_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i+4], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+rare AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN rare r ON a.g = r.g GROUP BY 1, 2),
+link AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(a, b) AS (SELECT x, y FROM e UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(r.b, w.doc_id))::BIGINT AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = w.doc_id"""
