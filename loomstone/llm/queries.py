@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .anchor_dedup import anchor_dedup
 from .best_fit import best_fit
 from .decontam import decontaminate
+from .line_winnow import winnow_lines
 from .llr_rules import quality_rules
+from .mil_quality import quality_scores
 from .parity_join import jaccard_join
 from .tables import read
 
@@ -92,3 +94,26 @@ e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
 reach(a, b) AS (SELECT x, y FROM e UNION SELECT reach.a, e.y FROM reach JOIN e ON reach.b = e.x)
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(r.b, w.doc_id))::BIGINT AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) r ON r.a = w.doc_id"""
+
+
+@_register
+def op3_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_register
+def op9_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnow_lines(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op9_winnow_lines"] = r"""
+WITH l AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+runs AS (SELECT doc_id, i, md5(to_json(ls[i:i+2])::VARCHAR) AS g FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS i FROM l)),
+later AS (SELECT doc_id, i FROM runs QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM later, (SELECT unnest(range(3)) AS k)),
+line AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM l),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t, count(*) AS n FROM line ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT l.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(kept.t, '')) END AS kept_sha256
+FROM l LEFT JOIN kept USING (doc_id)"""
