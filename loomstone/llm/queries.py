@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from .anchor_dedup import anchor_dedup
 from .best_fit import best_fit
+from .chat_tree import chat_tree, read_back
+from .crf_extract import extract
 from .decontam import decontaminate
 from .line_winnow import winnow_lines
 from .llr_rules import quality_rules
 from .mil_quality import quality_scores
 from .parity_join import jaccard_join
 from .tables import read
+from .token_attr import token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +32,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def token_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+@_register
+def op1_crf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @_register
 def op2_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = anchor_dedup(read(spark, sf_dir, "documents"), window=20)
@@ -117,3 +131,30 @@ kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t, count(*) AS n
 SELECT l.doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(kept.n, 0))::BIGINT AS n_removed,
 CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(kept.t, '')) END AS kept_sha256
 FROM l LEFT JOIN kept USING (doc_id)"""
+
+
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+@_register
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.sql("SELECT -7L AS conv_id, id AS turn, element_at(array('user', 'assistant'), int(id + 1)) AS role FROM range(2)").withColumn("text", F.lit(CONTROL_TEXT))
+    nodes, paths = chat_tree(turns.union(extra), tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern())
+    return read_back(nodes, paths).withColumnRenamed("conv", "conv_id")
+
+
+ORACLES["op6_chat_tree"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+l AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, text) AS x FROM t WHERE role = 'assistant' GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+coalesce(any_value(length(l.x)), 0)::BIGINT AS loss_chars, sha256(coalesce(any_value(l.x), '')) AS loss_sha256,
+sum(14 + length(regexp_replace(role, '[\\#<:]', '..', 'g')) + length(regexp_replace(text, '[\\#<]', '..', 'g')))::BIGINT AS formatted_chars
+FROM t LEFT JOIN l USING (conv_id) GROUP BY conv_id"""
+
+
+@_register
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern())
