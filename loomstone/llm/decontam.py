@@ -8,12 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from . import tables
 from .textcore import _LOWER, ALNUM, Words, covered, per_text, slices, windows
 
 #: Benchmark text in one broadcast. A larger benchmark is dealt into parts, scanned one after the other.
 PART_BYTES = 1 << 20
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 class Index:
@@ -78,7 +80,7 @@ def _parts(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
     return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
     """One row for each document: key, n_words, n_hit, n_items, items (sorted strings), spans (byte ranges of hit runs).
 
     A window is n consecutive words of an item; an item of fewer words, but not none, is one window. Words are
@@ -88,21 +90,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str =
     The scan has no shuffle: a document's work depends on its own words only, so no key can be hot.
 
     Nulls: a null text (either side) has no words; a null item id is listed as "null"; a null key is kept. Empty tables give no
-    row, or no hit. Repeated rows each give a row. Other columns are never read.
+    row, or no hit. Repeated rows each give a row. Other columns are never read; with carry they pass through and the result has
+    all columns of docs and one struct more, "_verdict", with those above.
     """
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = out.schema["key"].dataType.simpleString()
+    out = tables.boxed(docs, key, text, carry)
+    fields = out.schema.fields
     spark, parts = docs.sparkSession, _parts(benchmark, item, item_text)
     out = out.withColumns({"hits": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")})
     for i, part in enumerate(parts):
         known = spark.sparkContext.broadcast(Index([("null" if r[0] is None else str(r[0]), r[1]) for r in part.collect()], n))
-        out = out.mapInArrow(_scanner(known, last=i == len(parts) - 1), f"key {kind}, text string, hits binary, items array<string>, n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>")
+        last = i == len(parts) - 1
+        out = out.mapInArrow(_scanner(known, last, keep_text=carry or not last), StructType([*fields, *_FOUND.fields]))
         if i < len(parts) - 1:
-            out = tables.written(out.select("key", "text", "hits", "items"), "decontam")
-    return out.select(F.col("key").alias(key), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "spans")
+            out = tables.written(out.drop("n_words", "n_hit", "spans"), "decontam")
+    verdict = [F.col("key").alias(key), F.col("n_words"), F.col("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.col("items"), F.col("spans")]
+    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict).alias("_verdict")) if carry else out.select(*verdict)
 
 
-def _scanner(known, last: bool):
+_SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
+_FOUND = StructType([StructField("hits", BinaryType()), StructField("items", ArrayType(StringType())), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("spans", ArrayType(_SPAN))])
+
+
+def _scanner(known, last: bool, keep_text: bool):
     def scan(batches):
         index = known.value
         for batch in batches:
@@ -117,10 +126,11 @@ def _scanner(known, last: bool):
                 n_hit = per_text(hit, words.bounds)
                 masks = [None if last else np.packbits(hit[a:b]).tobytes() for a, b in zip(words.bounds, words.bounds[1:], strict=False)]
                 spans = [_spans(words, hit, k) if n_hit[k] else [] for k in range(len(n_hit))]
-                yield pa.RecordBatch.from_arrays(
-                    [part["key"], pa.array([None] * len(part), pa.string()) if last else part["text"], pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                    ["key", "text", "hits", "items", "n_words", "n_hit", "spans"],
-                )
+                passed = {c: part[c] for c in part.schema.names if c not in ("hits", "items")}
+                if not keep_text:
+                    passed["text"] = pa.nulls(len(part), pa.string())
+                found = [pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPANS)]
+                yield pa.RecordBatch.from_arrays([*passed.values(), *found], [*passed, *_FOUND.names])
 
     return scan
 

@@ -35,7 +35,7 @@ def _fingerprints() -> Column:
     return F.transform(chosen, lambda p: F.struct(F.get("g", p).alias("g"), F.array_compact(F.array(run(p - 1), run(p))).alias("runs")))
 
 
-def winnow_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def winnow_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """One row for each document: key, n_lines, n_removed, spans (half-open ranges of removed lines), kept_text.
 
     A line goes if it lies in a run of RUN lines or more (compared exactly, split at \\n) that also starts earlier: at a smaller
@@ -46,9 +46,10 @@ def winnow_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     A null text is one empty line, and stays null. Keys may be of any ordered type; a null key orders first. Rows that share key and text are one document:
     they lose the same lines; rows that share a key only are ordered by a hash of the text. Texts of fewer than RUN lines never
-    change. An empty table gives no row. Other columns are never read.
+    change. An empty table gives no row. Other columns are never read; with carry they pass through and the result has all columns
+    of docs and one struct more, "_verdict", with those above.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = tables.boxed(docs, key, text, carry).withColumn("th", F.xxhash64("text"))
     hashed = rows.select("key", "th", F.transform(_lines("text"), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= RUN)
     hashed = hashed.select("key", "th", _windows("h", GRAM).alias("g"), _windows("h", RUN).alias("w"), _windows("h", RUN, 1).alias("x"))
     marks = tables.written(hashed.select("key", "th", F.explode(_fingerprints()).alias("f")).select("key", "th", "f.g", "f.runs"), "fingerprints")
@@ -63,4 +64,5 @@ def winnow_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     text_out = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
     edge = lambda other, name: F.array_except(F.transform("gone", lambda i: i + (1 if name == "end" else 0)), F.transform("gone", lambda i: i + other))
     spans = F.coalesce(F.arrays_zip(edge(1, "start").alias("start"), edge(0, "end").alias("end")), F.array().cast("array<struct<start:int,end:int>>"))
-    return out.select(F.col("key").alias(key), F.size("lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), spans.alias("spans"), text_out.alias("kept_text"))
+    verdict = [F.col("key").alias(key), F.size("lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), spans.alias("spans"), text_out.alias("kept_text")]
+    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict).alias("_verdict")) if carry else out.select(*verdict)

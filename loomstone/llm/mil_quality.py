@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from . import tables
 from .textcore import U64, Words, mix, slices
 
 #: Words of a passage.
@@ -149,12 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in got], np.array([y for *_, y in got]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, carry: bool = False) -> DataFrame:
     """One row for each document: key, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold).
 
     Every whole text is scored, from its words alone. A null or empty text is one passage of zeros. A null key is never labelled,
     is not held out, and is scored. With no label, or one kind only, the score is 0.5, or that label's share. A key labelled twice
-    counts once, with its higher label; repeated documents each give a row. Other columns are never read.
+    counts once, with its higher label; repeated documents each give a row. Other columns are never read; with carry they pass
+    through and the result has all columns of docs and one struct more, "_verdict", with the four above.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, key, text, label))
 
@@ -162,9 +165,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
         for batch in batches:
             for part in slices(batch, "text"):
                 s = np.round(model.value.scores(*passages(Words.of(part["text"]))), 6)
-                yield pa.RecordBatch.from_arrays([part["key"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["key", "score", "predicted"])
+                more = [part[c] for c in part.schema.names]
+                yield pa.RecordBatch.from_arrays([*more, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = rows.mapInArrow(score, f"key {rows.schema['key'].dataType.simpleString()}, score double, predicted int")
+    rows = tables.boxed(docs, key, text, carry)
+    out = rows.mapInArrow(score, StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
     held = F.coalesce(F.crc32(F.col("key").cast("string")) % 5 == 0, F.lit(False))
-    return out.select(F.col("key").alias(key), held.alias("held_out"), "score", "predicted")
+    verdict = [F.col("key").alias(key), held.alias("held_out"), F.col("score"), F.col("predicted")]
+    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict).alias("_verdict")) if carry else out.select(*verdict)

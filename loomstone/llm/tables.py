@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text of one chunk: what a grouped task holds at a time.
@@ -16,6 +16,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def boxed(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
+    """key, text and, with carry, all other columns as one struct "row": their names can't clash with an operator's own."""
+    columns = [F.col(key).alias("key"), F.col(text).alias("text")]
+    if carry:
+        columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in (key, text)), F.lit(True).alias("_")).alias("row"))
+    return docs.select(*columns)
+
+
+def unboxed(out: DataFrame, docs: DataFrame, key: str, text: str) -> list[Column]:
+    """The columns of docs from a boxed result."""
+    return [F.col({key: "key", text: "text"}.get(c, f"row.`{c}`")).alias(c) for c in docs.columns]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one is made only where the setting is absent (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
