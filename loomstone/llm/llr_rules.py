@@ -70,7 +70,8 @@ def _add(table: pa.Table) -> pa.Table:
 
 def weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """log(p_target / p_raw) of each bucket, from counts over every document. Each task sums its own rows before the shuffle."""
-    marks = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("mark")).distinct()
+    # a merge join at every size: the trusted keys follow the corpus, so they are never broadcast
+    marks = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("mark")).distinct().hint("merge")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks, F.col("key") == F.col("mark"), "left")
     sums = rows.select("text", F.col("mark").isNotNull().alias("trusted")).mapInArrow(_count, "block int, raw binary, target binary").groupBy("block").applyInArrow(_add, "block int, raw binary, target binary").collect()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
