@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 
 import numpy as np
@@ -12,25 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
+from .textcore import U64, Words, buffers, slices
 
 #: Pieces packed together by one task; each shard wastes at most about one sequence.
 SHARD_PIECES = 50_000
-#: Distinct strings whose ids a worker keeps; when full it starts again.
-CACHE = 400_000
+#: Distinct strings whose ids a worker keeps, and distinct parts of them; when full, either starts again.
+CACHE, PARTS = 3_000_000, 300_000
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[\x21-\x7E¡-ſ]+")
-_CHUNK = regex.compile(r"[^ \n\t\r]+")
+#: Characters that composition leaves alone and whose lower case does not depend on their neighbours.
+_PLAIN = regex.compile(r"[\x21-\x7E¡-įı-ſ]+")
+#: Bytes that are no blank. Other white space stays inside a string; the tokenizer drops it.
+_FULL = np.ones(256, dtype=bool)
+_FULL[[0x20, 0x09, 0x0A, 0x0D]] = False
 
 
-class Encoder(dict):
-    """Ids of a string without blanks, as little-endian unsigned 32-bit bytes; cached.
+class Encoder:
+    """Ids of many texts at once. The tokenizer drops white space and never joins across it, so a text's ids are those of its
+    blank-free strings in order: each distinct string of a batch is looked up by its hash, and encoded by the tokenizer once.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its blank-free strings in order.
-    Strings of common characters go straight to the tokenizer's model; all others through the whole tokenizer.
+    Strings of common characters go part by part to the tokenizer's model; all others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -38,33 +40,94 @@ class Encoder(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = [b for b in range(256) if b not in plain]
         self.table = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(spare)}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            ids = [t.id for p in _PRE.findall("".join(c.lower() for c in unicodedata.normalize("NFC", word))) for t in self.model.tokenize("".join(map(self.table.__getitem__, p.encode())))]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = self[word] = np.asarray(ids, "<u4").tobytes()
+        self.parts: dict[str, list[int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.empty(0, np.int64)
+        self.old, self.young = (np.empty(0, U64), none, none), (np.empty(0, U64), none, none)
+        self.pool = np.empty(1 << 20, np.uint32)
+        self.used = 0
+
+    def word(self, word: str) -> list[int]:
+        if not _PLAIN.fullmatch(word) or "<|" in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for p in _PRE.findall(word.lower()):
+            ids = self.parts.get(p)
+            if ids is None:
+                if len(self.parts) >= PARTS:
+                    self.parts.clear()
+                ids = self.parts[p] = [t.id for t in self.model.tokenize(p if p.isascii() else "".join(map(self.table.__getitem__, p.encode())))]
+            out += ids
         return out
 
-    def ids(self, text: str) -> bytes:
-        return b"".join([self[w] for w in _CHUNK.findall(text)])
+    def _find(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each hash are in the pool, how many, and which hashes are new."""
+        at, size, new = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.ones(len(u), bool)
+        for keys, start, n in (self.old, self.young):
+            if len(keys):
+                i = np.searchsorted(keys, u)
+                i[i == len(keys)] = 0
+                hit = keys[i] == u
+                at[hit], size[hit], new[hit] = start[i[hit]], n[i[hit]], False
+        return at, size, new
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin."""
+        exact = b"<|" in data.tobytes()  # special tokens are told apart by case
+        words = Words(data, offsets, _FULL, lower=not exact)
+        u, place = np.unique(words.hashes() ^ U64(exact), return_inverse=True)
+        if len(self.old[0]) + len(self.young[0]) > CACHE:
+            self.clear()
+        at, size, new = self._find(u)
+        if new.any():
+            example = np.empty(len(u), np.int64)
+            example[place] = np.arange(len(place))
+            found = [self.word(words.word(i).decode()) for i in example[new]]
+            size[new] = [len(x) for x in found]
+            at[new] = self.used + np.cumsum(size[new]) - size[new]
+            more = int(size[new].sum())
+            while self.used + more > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+            self.pool[self.used : self.used + more] = [i for x in found for i in x]
+            self.used += more
+            self.young = _merged(self.young, (u[new], at[new], size[new]))
+            if len(self.young[0]) > len(self.old[0]) // 4:
+                self.old, self.young = _merged(self.old, self.young), tuple(x[:0] for x in self.young)
+        n = size[place]
+        total = np.concatenate([[0], np.cumsum(n)])
+        flat = self.pool[np.repeat(at[place] - total[:-1], n) + np.arange(total[-1])]
+        return flat, total[words.bounds]
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _pieces(path: str, capacity: int, end: int):
     def run(batches):
-        encoder, tail = Encoder(path), np.asarray([end], "<u4").tobytes()
+        if path not in _ENCODERS:  # kept while the worker lives
+            _ENCODERS[path] = Encoder(path)
+        encoder = _ENCODERS[path]
+        tail = np.asarray([end], "<u4").tobytes()
         for batch in batches:
-            rows: list[tuple] = []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                ids = encoder.ids(text.as_py() or "") + tail
-                for i, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((key.as_py(), i, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch["key"].type), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["key", "piece", "start", "length", "ids_crc32"])
+            for part in slices(batch, "text", 2 << 20):
+                ids, at = encoder.ids(*buffers(part["text"]))
+                raw = memoryview(ids.astype("<u4").tobytes())
+                own, cols = [], [[] for _ in range(4)]
+                for k in range(len(part)):
+                    text = bytes(raw[4 * at[k] : 4 * at[k + 1]]) + tail
+                    for i, start in enumerate(range(0, len(text), 4 * capacity)):
+                        piece = text[start : start + 4 * capacity]
+                        own.append(k)
+                        for col, x in zip(cols, (i, start // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
+                            col.append(x)
+                yield pa.RecordBatch.from_arrays([part["key"].take(pa.array(own, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["key", "piece", "start", "length", "ids_crc32"])
 
     return run
 
