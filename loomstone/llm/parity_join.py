@@ -204,9 +204,34 @@ def verify(edges: DataFrame, sets: DataFrame, group: int = 256) -> DataFrame:
     return full.groupBy("hub", "part").applyInArrow(_verified(), "hub bigint, node bigint")
 
 
+#: Links that one task may hold (16 bytes each); more go through rounds of stars.
+ONE_TASK = 1_000_000
+
+
+def _united(table: pa.Table) -> pa.Table:
+    """Union-find over a bounded set of links; the smaller root wins."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y] if y in up else y
+        return x
+
+    for u, v in zip(table["u"].to_pylist(), table["v"].to_pylist(), strict=True):
+        a, b = find(u), find(v)
+        up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())})
+
+
 def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
-    """node, root: the smallest node that links reach, for every linked node. Alternating large and small stars, each round written."""
+    """node, root: the smallest node that links reach, for every linked node.
+
+    Up to ONE_TASK links, as counted, are united by one task; beyond that large and small stars alternate, each round written.
+    """
     edges = tables.written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "stars")
+    if edges.count() <= ONE_TASK:
+        return tables.written(edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_united, "node bigint, root bigint"), "roots")
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -231,9 +256,10 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk
 
     Sets are the distinct 5-word shingles over words `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; a text of fewer words is
     one shingle, one without words, or a null, has none and links with nothing. Equal sets are one class, whose smallest key
-    stands for it, so a class may hold a third of the corpus. Candidates come from shared piece keys in two steps that together
-    lose no component: first each key links its members to its smallest one; then, for keys whose members still lie in different
-    components, every pair across components is compared. Keys are filtered by an exchange of 32-bit hashes before any key becomes
+    stands for it, so a class may hold a third of the corpus. Candidates come from shared piece keys in steps that together lose
+    no component: each key's members are compared with its smallest and its largest one, then, while they lie in different
+    components, with two others; what keys still join across components is compared block by block, by bitmaps first, without a
+    row for a pair that does not link. Keys are filtered by an exchange of 32-bit hashes before any key becomes
     a row; shared pieces that are most frequent are dropped within the pigeonhole bound, never by a cap.
 
     Keys must be integers; rows with a null key form no links and have a null component. Rows that share a key are one document
@@ -260,16 +286,89 @@ def _links(rows: DataFrame, classes: DataFrame, chunk_bytes: int) -> tuple[DataF
     sets = tables.written(dealt.cogroup(side.groupBy("chunk")).applyInArrow(_share(n), "node bigint, n bigint, keys array<bigint>, shingles binary, parity binary"), "sets")
 
     keyed = sets.select("node", "n", F.explode("keys").alias("k"))
-    hubs = keyed.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select(F.col("k").alias("hk"), "hub")
-    stars = tables.written(keyed.join(hubs, F.col("k") == F.col("hk")).where("node > hub").select("hub", "node").distinct(), "candidates")
-    first = tables.written(verify(stars, sets), "links")
-
-    roots = components(first).withColumnRenamed("node", "member")
-    placed = keyed.join(roots, F.col("node") == F.col("member"), "left").select("k", "node", "n", F.coalesce("root", "node").alias("root"))
+    ends = keyed.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("g")).where("a < b")
+    ends = tables.written(ends.withColumnRenamed("k", "hk"), "ends")
+    found = tables.written(verify(_stars(keyed, ends.select("hk", "a", "b")), sets), "links")
+    # keys of up to three members have no pair left untested; of the others, those that still join different components go on
+    keyed = tables.written(keyed.join(ends.where("g > 3"), F.col("k") == F.col("hk"), "left_semi"), "keyed")
+    for round_ in range(2):
+        open_keys = tables.written(_open(keyed, components(found)), "open")
+        if round_ == 0:
+            by = [F.struct(F.xxhash64(F.lit(i), "node"), F.col("node")) for i in range(2)]
+            picks = tables.written(open_keys.groupBy(F.col("k").alias("hk")).agg(F.min(by[0])["node"].alias("a"), F.min(by[1])["node"].alias("b")), "ends")
+            found = tables.written(found.union(verify(_stars(open_keys, picks), sets)), "links")
+    return sets, tables.written(found.union(_blocks(open_keys, sets)), "links")
+
+
+def _stars(keyed: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Each member of a key with each hub of the key, once: as many pairs as members."""
+    both = keyed.select("k", "node").join(hubs, F.col("k") == F.col("hk")).select("node", F.explode(F.array("a", "b")).alias("hub"))
+    return tables.written(both.where("hub <> node").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct(), "candidates")
+
+
+def _open(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Keys, with all their members, whose members lie in different components."""
+    placed = tables.written(keyed.select("k", "node", "n").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("k", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
     split = placed.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select(F.col("k").alias("sk"))
-    placed = tables.written(placed.join(split, F.col("k") == F.col("sk"), "left_semi"), "split")
-    left, right = placed.alias("x"), placed.alias("y")
-    fits = (F.col("x.n") * 80 <= F.col("y.n") * 100) & (F.col("y.n") * 80 <= F.col("x.n") * 100)
-    across = left.join(right, (F.col("x.k") == F.col("y.k")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node")) & fits).select(F.col("x.node").alias("hub"), F.col("y.node").alias("node")).distinct()
-    across = tables.written(across.join(stars, ["hub", "node"], "left_anti"), "across")
-    return sets, tables.written(first.union(verify(across, sets)), "links")
+    return placed.join(tables.written(split, "split"), F.col("k") == F.col("sk"), "left_semi")
+
+
+def _blocks(open_keys: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+    """Links across components among what open keys join: sets are dealt into blocks of similar size, and each two blocks that can
+    link are compared in one task. A set goes to as many tasks as there are such blocks; no pair becomes a row unless it links."""
+    low = tables.written(open_keys.groupBy("k").agg(F.min("node").alias("hub")).withColumnRenamed("k", "hk"), "low")
+    ties = open_keys.join(low, F.col("k") == F.col("hk")).where("node > hub").select("hub", "node").distinct()
+    nodes = open_keys.select("node", "n", "root").distinct()
+    groups = components(ties).withColumnRenamed("node", "member").withColumnRenamed("root", "cc")
+    nodes = tables.written(nodes.join(groups, F.col("node") == F.col("member")).select("node", "root", "cc", F.floor(F.log(1.25, F.col("n").cast("double"))).alias("band")), "nodes")
+    parts = tables.written(nodes.groupBy(F.col("cc").alias("c"), F.col("band").alias("b")).agg(F.ceil(F.count("*") / block).alias("parts")), "parts")
+    for shift, name in ((0, "own"), (1, "up"), (-1, "down")):
+        other = parts.select(F.col("c").alias(f"c_{name}"), F.col("b").alias(f"b_{name}"), F.col("parts").alias(name))
+        nodes = nodes.join(other, (F.col("cc") == F.col(f"c_{name}")) & (F.col("band") + shift == F.col(f"b_{name}")), "left").drop(f"c_{name}", f"b_{name}")
+    nodes = nodes.withColumn("i", F.pmod(F.xxhash64("node"), F.col("own")))
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    task = lambda lo, hi, i, j, side: F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint,i:bigint,j:bigint,side:int>>")
+    same = F.transform(upto("own"), lambda j: task(F.col("band"), F.col("band"), F.least(F.col("i"), j), F.greatest(F.col("i"), j), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1)))
+    up = F.when(F.col("up").isNotNull(), F.transform(upto("up"), lambda j: task(F.col("band"), F.col("band") + 1, F.col("i"), j, F.lit(0)))).otherwise(none)
+    down = F.when(F.col("down").isNotNull(), F.transform(upto("down"), lambda j: task(F.col("band") - 1, F.col("band"), j, F.col("i"), F.lit(1)))).otherwise(none)
+    dealt = nodes.select("node", "root", "cc", F.explode(F.concat(same, up, down)).alias("t")).select("node", "root", "cc", "t.*")
+    full = dealt.join(sets.select(F.col("node").alias("id"), "shingles", "parity"), F.col("node") == F.col("id")).drop("id")
+    return full.groupBy("cc", "lo", "hi", "i", "j").applyInArrow(_compare, "hub bigint, node bigint")
+
+
+def _folded(parity: list[bytes], size: int) -> np.ndarray:
+    out = np.empty((len(parity), size), np.uint8)
+    for k, raw in enumerate(parity):
+        x = np.frombuffer(raw, np.uint8)
+        while len(x) > size:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out.view(np.uint64)
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Links of one task: left against right, or all against all. Pairs already in one component are passed over."""
+    table = table.sort_by("node")
+    node, side = table["node"].to_numpy(), table["side"].to_numpy()
+    parity, raw = table["parity"].to_pylist(), table["shingles"].to_pylist()
+    bits, size = _folded(parity, min(map(len, parity))), np.array([len(x) // 6 for x in raw])
+    root = table["root"].to_numpy().copy()
+    sets: dict[int, np.ndarray] = {}
+    links = []
+    for x in range(len(node)):
+        near = np.arange(x + 1, len(node)) if side[x] == 2 else np.flatnonzero(side == 1) if side[x] == 0 else np.empty(0, np.int64)
+        near = near[root[near] != root[x]]
+        near = near[(80 * np.maximum(size[near], size[x]) <= 100 * np.minimum(size[near], size[x]))]
+        near = near[np.bitwise_count(bits[near] ^ bits[x]).sum(1, dtype=np.int64) <= (size[near] + size[x]) // 9]
+        for y in near:
+            if root[x] == root[y]:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = unpack48(raw[k])
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= 80 * (size[x] + size[y] - both):
+                links.append((min(node[x], node[y]), max(node[x], node[y])))
+                root[root == root[y]] = root[x]
+    return pa.table({"hub": pa.array([a for a, _ in links], pa.int64()), "node": pa.array([b for _, b in links], pa.int64())})

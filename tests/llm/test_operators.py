@@ -153,6 +153,19 @@ def test_jaccard_join_on_a_hot_near_copy_group(spark):
     assert [got[i].component_id for i in range(len(group))] == roots
 
 
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(4)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(190)] + [(400 + i, 401 + i) for i in range(20)] + [(7, 7)]
+    df = spark.createDataFrame(links, "hub bigint, node bigint")
+    want = {r.node: r.root for r in parity_join.components(df).collect()}
+    assert all(want[a] == want[b] for a, b in links if a != b) and all(want[want[x]] == want[x] <= x for x in want)
+    old, parity_join.ONE_TASK = parity_join.ONE_TASK, 0
+    try:
+        assert {r.node: r.root for r in parity_join.components(df).collect()} == want
+    finally:
+        parity_join.ONE_TASK = old
+
+
 def test_piece_bound():
     """Linked sets always share an offered key, whatever their sizes."""
     rng = np.random.default_rng(1)
