@@ -60,11 +60,15 @@ VIEWS: dict[str, tuple[str, str]] = {
 
 
 def views(spark: SparkSession, sf_dir: str) -> None:
-    """Registers tables and roles as temporary views; nothing is read yet."""
+    """Registers tables and roles as temporary views, once for a session and folder; nothing is read yet."""
+    if getattr(spark, "_loomstone_views", None) == sf_dir:
+        return
+    spark._loomstone_views = None
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, (sql, _) in VIEWS.items():
         spark.sql(sql).createOrReplaceTempView(name)
+    spark._loomstone_views = sf_dir
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
