@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm.best_fit import best_fit
-from loomstone.llm.decontam import decontaminate, without_spans
+from loomstone.llm.decontam import decontaminate
 from loomstone.llm.line_winnow import winnow_lines
 from loomstone.llm.mil_quality import quality_scores
 from loomstone.llm.parity_join import jaccard_join
@@ -45,8 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents of which a twentieth or more is benchmark text go; from the others such passages are cut."""
     out = decontaminate(docs, read(spark, sf_dir, "benchmark"), carry=True)
     out = out.where("NOT (_verdict.n_hit > 0 AND 20 * _verdict.n_hit >= _verdict.n_words)")
-    spans = F.col("_verdict.spans")
-    return out.select(*_with_text(docs, F.size(spans) > 0, without_spans(F.col("text"), spans)))
+    clean = F.col("_verdict.clean_text")
+    return out.select(*_with_text(docs, clean.isNotNull(), clean))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

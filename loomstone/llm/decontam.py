@@ -74,6 +74,13 @@ def _spans(words: Words, hit: np.ndarray, k: int) -> list[dict]:
     return [{"start": int(words.starts[lo + a] - base), "end": int(words.ends[lo + b - 1] - base)} for a, b in zip(on[::2], on[1::2], strict=True)]
 
 
+def _without(text: pa.Scalar, spans: list[dict]) -> str:
+    raw, at, out = text.as_py().encode(), 0, b""
+    for s in spans:
+        out, at = out + raw[at : s["start"]], s["end"]
+    return (out + raw[at:]).decode()
+
+
 def _parts(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
     rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"))
     n = max(1, -(-tables.text_bytes(rows) // PART_BYTES))
@@ -91,7 +98,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str =
 
     Nulls: a null text (either side) has no words; a null item id is listed as "null"; a null key is kept. Empty tables give no
     row, or no hit. Repeated rows each give a row. Other columns are never read; with carry they pass through and the result has
-    all columns of docs and one struct more, "_verdict", with those above.
+    all columns of docs and one struct more, "_verdict", with those above and clean_text, the text without its hit spans
+    (null if it has none).
     """
     out = tables.boxed(docs, key, text, carry)
     fields = out.schema.fields
@@ -102,13 +110,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str =
         last = i == len(parts) - 1
         out = out.mapInArrow(_scanner(known, last, keep_text=carry or not last), StructType([*fields, *_FOUND.fields]))
         if i < len(parts) - 1:
-            out = tables.written(out.drop("n_words", "n_hit", "spans"), "decontam")
+            out = tables.written(out.drop("n_words", "n_hit", "spans", "clean_text"), "decontam")
     verdict = [F.col("key").alias(key), F.col("n_words"), F.col("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.col("items"), F.col("spans")]
-    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict).alias("_verdict")) if carry else out.select(*verdict)
+    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict, F.col("clean_text")).alias("_verdict")) if carry else out.select(*verdict)
 
 
 _SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
-_FOUND = StructType([StructField("hits", BinaryType()), StructField("items", ArrayType(StringType())), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("spans", ArrayType(_SPAN))])
+_FOUND = StructType([StructField("hits", BinaryType()), StructField("items", ArrayType(StringType())), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("spans", ArrayType(_SPAN)), StructField("clean_text", StringType())])
 
 
 def _scanner(known, last: bool, keep_text: bool):
@@ -129,17 +137,9 @@ def _scanner(known, last: bool, keep_text: bool):
                 passed = {c: part[c] for c in part.schema.names if c not in ("hits", "items")}
                 if not keep_text:
                     passed["text"] = pa.nulls(len(part), pa.string())
-                found = [pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPANS)]
+                clean = [_without(t, s) if keep_text and s else None for t, s in zip(part["text"], spans, strict=True)]
+                found = [pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPANS), pa.array(clean, pa.string())]
                 yield pa.RecordBatch.from_arrays([*passed.values(), *found], [*passed, *_FOUND.names])
 
     return scan
 
-
-def without_spans(text: F.Column, spans: F.Column) -> F.Column:
-    """The text with those byte ranges cut out."""
-    raw = F.encode(text, "UTF-8")
-    size = F.octet_length(text).cast("bigint")
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["end"]))
-    ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(size))
-    kept = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.decode(F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), "UTF-8"))
-    return F.when(F.size(spans) > 0, F.array_join(kept, "")).otherwise(text)
