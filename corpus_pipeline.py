@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go; a document of which nothing is left goes."""
-    out = winnow_lines(docs, carry=True).where("_verdict.n_removed = 0 OR length(_verdict.kept_text) > 0")
+    """Later repeated runs of three lines, or of over 50 words, go; a document of which nothing is left goes."""
+    out = winnow_lines(docs, carry=True, words=50).where("_verdict.n_removed = 0 OR length(_verdict.kept_text) > 0")
     return out.select(*_with_text(docs, F.col("_verdict.n_removed") > 0, F.col("_verdict.kept_text")))
 
 

@@ -133,6 +133,13 @@ CASE WHEN text IS NULL THEN NULL ELSE sha256(coalesce(kept.t, '')) END AS kept_s
 FROM l LEFT JOIN kept USING (doc_id)"""
 
 
+@_register
+def op9_winnow_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_winnow_lines, and runs of one or two lines that hold over 50 words go too: what the pipeline runs."""
+    out = winnow_lines(read(spark, sf_dir, "documents"), words=50)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
