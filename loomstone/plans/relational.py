@@ -167,6 +167,12 @@ def _(spark):
     return d.select("doc_id", T.last_head(F.col("text"), [" the ", " of "]).alias("head"))
 
 
+@query("p11_last_head_whole")
+def _(spark):
+    """Over all documents; heads may overlap, which the SQL of p11_last_head leaves out."""
+    return spark.table("documents").select("doc_id", T.last_head(F.col("text"), [" the ", " of "]).alias("head"))
+
+
 plan("p12_candidate_filter", "SELECT doc_id FROM units WHERE lang = 'en'")
 
 
