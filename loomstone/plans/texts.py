@@ -151,6 +151,12 @@ def _(spark):
     return spark.table("documents").select("doc_id", T.shared_prefix(t, F.replace(t, F.lit("and"), F.lit("end"))).alias("n"))
 
 
+@query("sc23_shared_prefix_whole")
+def _(spark):
+    """Whole texts; the SQL of sc23_shared_prefix, quadratic in length, reads 60 characters."""
+    return spark.table("documents").select("doc_id", T.shared_prefix(F.col("text"), F.replace("text", F.lit("and"), F.lit("end"))).alias("n"))
+
+
 plan("sc24_explanation_match", "SELECT doc_id, CASE WHEN size(gold) = 0 THEN CASE WHEN size(pred) = 0 THEN 1.0D ELSE 0.0D END ELSE size(array_intersect(gold, pred)) / cast(size(gold) AS double) END AS m FROM preds", "SELECT doc_id, CASE WHEN len(gold) = 0 THEN CASE WHEN len(pred) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE len(list_intersect(gold, pred)) / len(gold)::DOUBLE END AS m FROM preds")
 plan("sc25_fraction", "SELECT engine, format_string('%d/%d (%.1f%%)', k, n, 100.0D * k / n) AS f FROM (SELECT engine, count_if(low) AS k, count(*) AS n FROM units GROUP BY engine)", "SELECT engine, printf('%d/%d (%.1f%%)', k, n, 100.0 * k / n) AS f FROM (SELECT engine, count_if(low) AS k, count(*) AS n FROM units GROUP BY engine)")
 
