@@ -44,6 +44,14 @@ def _(spark):
     return rows.select("doc_id", F.md5(out).alias("h"), (F.btrim("c", F.lit(" \n")) != out).alias("changed"))
 
 
+@query("sc06_unglue_whole")
+def _(spark):
+    """Whole texts; the SQL of sc06_unglue reads 300 characters."""
+    rows = spark.table("documents").select("doc_id", F.expr(_GLUED.replace("left(text, 300)", "text")).alias("c"))
+    glued = r'[A-Za-z0-9_">)]#[ \t]*(?:' + "|".join(T.DIRECTIVES) + r")\b"
+    return rows.select("doc_id", F.md5(T.unglued(F.col("c"))).alias("h"), F.col("c").rlike(glued).alias("changed"))
+
+
 @query("sc07_conversation", "SELECT doc_id, md5('system:S' || 'user:Find:' || chr(10) || chr(10) || text || 'assistant:' || lang) AS h FROM documents")
 def _(spark):
     m = T.conversation(F.lit("S"), F.concat(F.lit("Find:\n\n"), "text"), F.col("lang"))
