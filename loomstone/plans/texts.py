@@ -138,6 +138,14 @@ def _(spark):
     return rows.select("doc_id", F.when(F.col("doc_id") % 3 == 2, F.when(F.startswith(out, F.lit("```")), "twice")).otherwise(out).alias("code"))
 
 
+@query("sc19_fenced_block_whole")
+def _(spark):
+    """Whole texts of all documents, most of many lines; the SQL of sc19_fenced_block takes 40 characters of one line."""
+    t, kind = F.col("text"), F.col("doc_id") % 3
+    raw = F.when(kind == 0, F.concat(F.lit("Here:\n```cpp\n"), t, F.lit("\n```\nbye"))).when(kind == 1, F.concat(F.lit("a "), t)).otherwise(F.concat(F.lit("```\n"), t, F.lit("\n``` ```\nb\n```")))
+    return spark.table("documents").select("doc_id", F.btrim(T.fenced(raw), F.lit(" \n")).alias("code"))
+
+
 @query("sc20_token_jaccard", "SELECT p_partkey, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) END::DOUBLE AS j FROM (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '\\w+')) AS a, list_distinct(regexp_extract_all(lower(p_type), '\\w+')) AS b FROM part)")
 def _(spark):
     return spark.table("part").select("p_partkey", F.round(T.jaccard(T.token_set(F.col("p_name")), T.token_set(F.col("p_type"))), 9).alias("j"))
