@@ -83,6 +83,12 @@ def _(spark):
     return good.select("doc_id", parse.checks_bare(F.col("raw")).alias("checks"))
 
 
+@query("sc11_answer_bare_whole")
+def _(spark):
+    """All answers: null where the text as a whole is no object. The SQL of sc11_answer_bare leaves those out."""
+    return spark.table("answers").select("doc_id", parse.checks_bare(F.col("raw")).alias("checks"))
+
+
 @query("sc12_lenient_json", "SELECT event_id, event_id % 5 <> 0 AS ok FROM events")
 def _(spark):
     raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("no "), F.substring("props", 2, 5))).otherwise(F.concat(F.lit("so: "), F.regexp_replace("props", r"\}$", ",}"), F.lit(" ok")))
