@@ -49,7 +49,7 @@ def checks_bare(text: Column) -> Column:
     raw = F.get_json_object(text, "$.checks")
     items = F.from_json(raw, "array<variant>")
     words = F.filter(F.transform(items, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))), lambda x: x.isNotNull())
-    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # the path alone is read from a broken object, too
+    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # the path alone is read whatever follows the object
     whole = F.try_variant_get(boxed, "$[0]", "variant").isNotNull() & F.try_variant_get(boxed, "$[1]", "variant").isNull()
     return F.when(whole & raw.startswith("["), F.array_sort(F.array_distinct(words)))
 
