@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
-from .exchange import answered, bits, cut, keys, ordered, pack_bits
-from .textcore import U64, Words, covered, per_text, windows
+from .exchange import answered, bits, cut, keys, pack_bits
+from .textcore import U64, Words, covered, mix, per_text, windows
 
 _SENT = "bucket int, chunk int, n int, state boolean, hashes binary, marks binary"
 _BACK = "chunk int, bucket int, state boolean, answer binary"
@@ -31,11 +31,22 @@ _SENT_PA = [("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("
 _BACK_PA = [("chunk", pa.int32()), ("bucket", pa.int32()), ("state", pa.bool_()), ("answer", pa.binary())]
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of hashes, sorted; where each occurs first, and for each place the number of its pair."""
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return x[new], y[new], order[new], place
+
+
 class _Chunk:
-    """Words and hashes of one chunk, the same in each pass."""
+    """Words and hashes of one chunk, the same in each pass: rows by key, nulls last, then by a hash of the text."""
 
     def __init__(self, table: pa.Table, window: int):
-        self.table, self.window, self.block = ordered(table), window, (window + 1) // 2
+        self.table, self.window, self.block = table.sort_by([("key", "ascending"), ("th", "ascending")]), window, (window + 1) // 2
         self.words = Words.of(self.table["text"])
         self.h = self.words.hashes()
 
@@ -45,6 +56,10 @@ class _Chunk:
         first = np.repeat(self.words.bounds[:-1], self.words.counts)[at]
         return at, windows(self.h, self.block)[at], (at - first) % self.block == 0
 
+    def whole(self, start: np.ndarray) -> tuple:
+        """The distinct windows that start there, by two independent hashes of 64 bits."""
+        return _distinct(windows(self.h, self.window)[start], windows(mix(self.h ^ U64(0x6A09E667F3BCC909)), self.window)[start])
+
     def full(self, near: np.ndarray) -> np.ndarray:
         """Starts of whole windows that hold a hit."""
         total = np.concatenate([[0], np.cumsum(near, dtype=np.int64), np.full(self.window, near.sum())])
@@ -92,11 +107,12 @@ def _extend(window: int, n: int):
         near = np.zeros(len(chunk.h), bool)
         near[at] = answered(u, n, dict(zip(back["bucket"].to_pylist(), back["answer"].to_pylist(), strict=True)))[place]
         start = chunk.full(near)
-        u, first = np.unique(windows(chunk.h, window)[start], return_index=True)
-        owner = keys(chunk.table)[np.searchsorted(chunk.words.bounds, start[first], "right") - 1]
+        u, second, first, _ = chunk.whole(start)
+        text = np.searchsorted(chunk.words.bounds, start[first], "right") - 1
+        owner, th = keys(chunk.table)[text], (chunk.table["th"].to_numpy()[text] >> 32).astype(np.int32)
         state = np.zeros(len(near), bool)
         state[start] = True
-        rows = [(b, number, j - i, False, u[i:j].tobytes(), owner[i:j].tobytes()) for b, i, j in cut(u, n)]
+        rows = [(b, number, j - i, False, u[i:j].tobytes(), second[i:j].tobytes() + owner[i:j].tobytes() + th[i:j].tobytes()) for b, i, j in cut(u, n)]
         return _rows(_SENT_PA, [*rows, (number % n, number, len(state), True, pack_bits(state), None)] if len(start) else [])
 
     return run
@@ -107,12 +123,12 @@ def _firsts(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     out = [(r["chunk"], r["bucket"], True, r["hashes"]) for r in rows if r["state"]]
     if rows := [r for r in rows if not r["state"]]:
-        hashes = np.concatenate([np.frombuffer(r["hashes"], U64) for r in rows])
-        owner = np.concatenate([np.frombuffer(r["marks"], np.int64) for r in rows])
-        order = np.lexsort((owner, hashes))
+        column = lambda kind, lo, hi: np.concatenate([np.frombuffer(r["marks"][lo * r["n"] : hi * r["n"]], kind) for r in rows])
+        hashes, second = np.concatenate([np.frombuffer(r["hashes"], U64) for r in rows]), column(U64, 0, 8)
+        order = np.lexsort((column(np.int32, 16, 20), column(np.int64, 8, 16), second, hashes))
+        x, y = hashes[order], second[order]
         first = np.zeros(len(hashes), bool)
-        sorted_hashes = hashes[order]
-        first[order[np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]])]] = True
+        first[order[np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])]] = True
         ends = np.cumsum([r["n"] for r in rows])
         out += [(r["chunk"], r["bucket"], False, pack_bits(first[e - r["n"] : e])) for r, e in zip(rows, ends, strict=True)]
     return _rows(_BACK_PA, out)
@@ -127,7 +143,7 @@ def _remove(window: int, n: int):
         if len(back):
             state = back.filter(back["state"])["answer"][0].as_py()
             start = np.flatnonzero(bits(state, len(gone)))
-            u, first, place = np.unique(windows(chunk.h, window)[start], return_index=True, return_inverse=True)
+            u, _, first, place = chunk.whole(start)
             plain = back.filter(pa.compute.invert(back["state"]))
             mine = answered(u, n, dict(zip(plain["bucket"].to_pylist(), plain["answer"].to_pylist(), strict=True)))
             keep = np.zeros(len(start), bool)
@@ -151,16 +167,17 @@ def anchor_dedup(docs: DataFrame, window: int = 20, key: str = "doc_id", text: s
     earlier: at a smaller key, or earlier in the same document. Windows are judged on the input. kept_text joins the other words by
     one space. Blocks of half a window are enough: any window holds a whole reference block wherever it lies.
 
-    A probe is sent as 32 bits and its bucket, the surviving windows as 64 bits and their bucket; buckets grow in number with the
-    input, so the chance of two different windows meeting stays negligible at any size. The first stage only selects windows, so
-    a false hit there changes nothing.
+    A probe is sent as 32 bits and its bucket: that stage only selects windows, so a false hit there changes nothing. Surviving
+    windows are compared by two hashes of 64 bits each: among 10**13 different ones the chance that any two meet is below 10**-12.
 
-    Keys must be integers. A null key orders last. Rows that share a key are ordered by text, as one run of documents; exact repeats
-    of a row follow each other. A null text has no words. An empty table gives no row. Other columns are never read.
+    Keys must be integers. A null key orders last. Rows that share a key, null or not, are dealt over chunks by key and text and
+    ordered by a hash of the text; repeats of a whole row follow each other in one chunk. A null text has no words, a text of any
+    length is one row of its chunk. Ties: of equal windows in one document the earlier start is first. An empty table gives no
+    row. Other columns are never read.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
     n = tables.chunks_for(rows, chunk_bytes=chunk_bytes)
-    rows = tables.with_chunk(rows, "key", n)
+    rows = tables.with_chunk(rows.withColumn("th", F.xxhash64("text")), n, "key", "th")
     dealt = rows.groupBy("chunk")
     hits = dealt.applyInArrow(_probe(window, n), _SENT).groupBy("bucket").applyInArrow(_hits, _BACK)
     firsts = dealt.cogroup(hits.groupBy("chunk")).applyInArrow(_extend(window, n), _SENT).groupBy("bucket").applyInArrow(_firsts, _BACK)

@@ -112,7 +112,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str =
         if i < len(parts) - 1:
             out = tables.written(out.drop("n_words", "n_hit", "spans", "clean_text"), "decontam")
     verdict = [F.col("key").alias(key), F.col("n_words"), F.col("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.col("items"), F.col("spans")]
-    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict, F.col("clean_text")).alias("_verdict")) if carry else out.select(*verdict)
+    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict, F.col("clean_text")).alias(tables.free("_verdict", docs))) if carry else out.select(*verdict)
 
 
 _SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])

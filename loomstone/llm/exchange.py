@@ -19,15 +19,10 @@ def cut(u: np.ndarray, n: int):
     """(bucket, from, to) of sorted hashes: a bucket holds an equal range of the upper 32 bits."""
     bucket = ((u >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
     edge = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for lo, hi in zip(edge, [*edge[1:], len(u)], strict=True):
+    for lo, hi in zip(edge, [*edge[1:], len(u)] if len(u) else [], strict=True):
         yield int(bucket[lo]), int(lo), int(hi)
 
 
-def ordered(table: pa.Table) -> pa.Table:
-    """A chunk's rows in an order that does not depend on how they arrived: by key, nulls last, then by text."""
-    return table.sort_by([("key", "ascending"), ("text", "ascending")])
-
-
 def keys(table: pa.Table) -> np.ndarray:
     """Integer keys for ordering; null orders last."""
     return table["key"].fill_null(MAX_ID).to_numpy().astype(np.int64)

@@ -90,4 +90,4 @@ def winnow_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
     edge = lambda other, name: F.array_except(F.transform("gone", lambda i: i + (1 if name == "end" else 0)), F.transform("gone", lambda i: i + other))
     spans = F.coalesce(F.arrays_zip(edge(1, "start").alias("start"), edge(0, "end").alias("end")), F.array().cast("array<struct<start:int,end:int>>"))
     verdict = [F.col("key").alias(key), F.size("lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"), spans.alias("spans"), text_out.alias("kept_text")]
-    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict).alias("_verdict")) if carry else out.select(*verdict)
+    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict).alias(tables.free("_verdict", docs))) if carry else out.select(*verdict)

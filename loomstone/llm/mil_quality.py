@@ -172,4 +172,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     out = rows.mapInArrow(score, StructType([*rows.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
     held = F.coalesce(F.crc32(F.col("key").cast("string")) % 5 == 0, F.lit(False))
     verdict = [F.col("key").alias(key), held.alias("held_out"), F.col("score"), F.col("predicted")]
-    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict).alias("_verdict")) if carry else out.select(*verdict)
+    return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict).alias(tables.free("_verdict", docs))) if carry else out.select(*verdict)

@@ -5,6 +5,9 @@ a piece is the parity (exclusive or) of its shingles. A shingle that only one of
 number of pieces that differ, and the Hamming distance of a parity bitmap, are lower bounds of the symmetric difference. Two
 sets of sizes a <= b with Jaccard similarity 0.8 differ in at most (a + b) / 9 <= a / 4 shingles, so of any a / 4 + 1 pieces one
 agrees. Each set offers the pieces that hold most shingles first, an order both sets share on agreeing pieces.
+
+Keys that sets share without linking, such as a template's, are met a second time with finer pieces: of those each set keeps the
+rarest, so a set with enough text of its own no longer offers its template.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tables
-from .exchange import answered, cut, ordered
+from .exchange import answered, cut
 from .textcore import U64, Words, mix, slices, windows
 
 #: Pieces offered beyond the bound; in return each set drops as many of its most frequent ones, and one agreeing piece remains.
@@ -49,22 +52,37 @@ def bands(n: int) -> list[tuple[int, int]]:
     return [(k, up - 1)] + ([(k + 1, further - 1)] if n * 5 // 4 >= up else [])
 
 
-def piece_keys(s: np.ndarray) -> np.ndarray:
-    """Keys of the pieces that a set offers, in each of its bands."""
+def piece_keys(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """For each band of a set the keys of the pieces that it offers, and how many of them it must keep."""
     out, spread = [], mix(s)
     for k, most in bands(len(s)):
         p = max(int(0.3 * most), most // 4 + 1 + SPARE) + 1
-        piece = ((s >> U64(32)) * U64(p) >> U64(32)).astype(np.int64)
-        first = np.flatnonzero(np.diff(piece, prepend=-1))
-        parity, count, where = np.bitwise_xor.reduceat(spread, first), np.diff([*first, len(s)]), piece[first]
         need = len(s) // 4 + 1 + SPARE
-        take = np.lexsort((parity, -count))[:need]
-        parity, where = parity[take], where[take]
-        if len(take) < need:
-            empty = np.setdiff1d(np.arange(p), piece)[: need - len(take)]
-            parity, where = np.concatenate([parity, np.zeros(len(empty), U64)]), np.concatenate([where, empty])
-        out.append(mix(parity ^ mix(where.astype(U64) + U64((k + 1) << 40))))
-    return np.concatenate(out)
+        out.append((_keys(s, spread, p, k, need), need - SPARE))
+    return out
+
+
+def fine_keys(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """As piece_keys, with twice as many pieces as shingles, all of them offered. At most d pieces of two linked sets differ, so
+    of what both hold all but d agree, and whichever d + 1 each keeps in one order of rarity, one is common."""
+    out, spread = [], mix(s)
+    for k, most in bands(len(s)):
+        d = (len(s) + min(most, len(s) * 5 // 4)) // 9
+        out.append((_keys(s, spread, 2 * most + 1, k + 512, d + 1, whole=True), d + 1))
+    return out
+
+
+def _keys(s: np.ndarray, spread: np.ndarray, p: int, seed: int, need: int, whole: bool = False) -> np.ndarray:
+    """Keys of the first `need` of p pieces, those with most shingles first and empty ones last; whole: all with shingles at least."""
+    piece = ((s >> U64(32)) * U64(p) >> U64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(piece, prepend=-1))
+    parity, count, where = np.bitwise_xor.reduceat(spread, first), np.diff([*first, len(s)]), piece[first]
+    take = slice(None) if whole else np.lexsort((parity, -count))[:need]
+    parity, where = parity[take], where[take]
+    if len(where) < need:
+        empty = np.setdiff1d(np.arange(p), piece)[: need - len(where)]
+        parity, where = np.concatenate([parity, np.zeros(len(empty), U64)]), np.concatenate([where, empty])
+    return mix(parity ^ mix(where.astype(U64) + U64((seed + 1) << 40)))
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -100,15 +118,17 @@ def _sizes(batches):
         for part in slices(batch, "text"):
             sets = shingle_sets(Words.of(part["text"], lower=True))
             pairs = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part["key"], pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["key", "n", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([part["key"], part["th"], pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["key", "th", "n", "h1", "h2"])
 
 
-def _chosen(table: pa.Table, side: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(key, set, offered keys) of a chunk's class representatives, in a fixed order."""
+def _chosen(table: pa.Table, side: pa.Table) -> list[tuple]:
+    """(key, set, offered keys) of a chunk's class representatives, in an order that does not depend on how rows arrived."""
+    if not len(table) or not len(side):
+        return []
     marks = side.filter(pa.compute.equal(side["bucket"], -1))
     wanted = set(zip(marks["rep"].to_pylist(), marks["h1"].to_pylist(), strict=True))
     out = []
-    table = ordered(table)
+    table = table.sort_by([("key", "ascending"), ("th", "ascending")])
     for key, s in zip(table["key"].to_pylist(), shingle_sets(Words.of(table["text"], lower=True)), strict=True):
         if len(s) and (key, one := digest(s)[0]) in wanted:
             wanted.discard((key, one))
@@ -116,11 +136,26 @@ def _chosen(table: pa.Table, side: pa.Table) -> list[tuple[int, np.ndarray, np.n
     return out
 
 
-def _offer(n: int):
+def _refined(table: pa.Table, side: pa.Table) -> list[tuple]:
+    """The same for sets themselves, with finer pieces."""
+    if not len(table):
+        return []
+    table = table.sort_by("node")
+    sets = [unpack48(x) << U64(16) for x in table["shingles"].to_pylist()]
+    return [(key, s, fine_keys(s)) for key, s in zip(table["node"].to_pylist(), sets, strict=True)]
+
+
+def _all_keys(own: list[tuple]) -> np.ndarray:
+    return np.concatenate([k for *_, offered in own for k, _ in offered])
+
+
+def _offer(n: int, chosen):
+    """What a chunk sends to buckets: its distinct keys as 32 bits, with how many of its sets offer them."""
+
     def run(table: pa.Table, side: pa.Table) -> pa.Table:
         rows = []
-        if len(table) and len(side) and (own := _chosen(table, side)):
-            u, count = np.unique(np.concatenate([k for *_, k in own]), return_counts=True)
+        if own := chosen(table, side):
+            u, count = np.unique(_all_keys(own), return_counts=True)
             low, few = (u & U64(0xFFFFFFFF)).astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
             rows = [(b, table["chunk"][0].as_py(), j - i, low[i:j].tobytes(), few[i:j].tobytes()) for b, i, j in cut(u, n)]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -145,33 +180,39 @@ def _frequency(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(c, t) for (k, t), c in zip((("chunk", pa.int32()), ("bucket", pa.int32()), ("answer", pa.binary())), cols, strict=True)})
 
 
+def _kept(own: list[tuple], side: pa.Table, n: int):
+    """(key, set, keys) of a chunk's sets: what each keeps of what it offers, in order of rarity, if another set offers it too."""
+    u, place = np.unique(_all_keys(own), return_inverse=True)
+    replies = side.filter(pa.compute.greater_equal(side["bucket"], 0))
+    level, at = answered(u, n, dict(zip(replies["bucket"].to_pylist(), replies["answer"].to_pylist(), strict=True)), width=1)[place], 0
+    for key, s, offered in own:
+        out = []
+        for k, most in offered:
+            lv = level[at : at + len(k)]
+            keep = np.lexsort((k, lv))[:most]
+            out.append(k[keep][lv[keep] > 0])
+            at += len(k)
+        yield key, s, np.concatenate(out).astype(np.int64)
+
+
 def _share(n: int):
     def run(table: pa.Table, side: pa.Table) -> pa.Table:
-        rows = []
-        if len(table) and len(side) and (own := _chosen(table, side)):
-            u, place = np.unique(np.concatenate([k for *_, k in own]), return_inverse=True)
-            replies = side.filter(pa.compute.greater_equal(side["bucket"], 0))
-            level, at = answered(u, n, dict(zip(replies["bucket"].to_pylist(), replies["answer"].to_pylist(), strict=True)), width=1)[place], 0
-            for key, s, k in own:
-                mine, at = level[at : at + len(k)], at + len(k)
-                keep = _without_frequent(k, mine, s)
-                if len(keep):
-                    rows.append((key, len(s), keep.astype(np.int64), pack48(s), bitmap(s)))
+        own = _chosen(table, side)
+        rows = [(key, len(s), keys, pack48(s), bitmap(s)) for key, s, keys in (_kept(own, side, n) if own else ()) if len(keys)]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.table({k: pa.array(c, t) for (k, t), c in zip((("node", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.binary()), ("parity", pa.binary())), cols, strict=True)})
 
     return run
 
 
-def _without_frequent(k: np.ndarray, level: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """In each band the offered keys less the SPARE most frequent; of those only keys that another set offers too."""
-    out, at, need = [], 0, len(s) // 4 + 1 + SPARE
-    for _ in bands(len(s)):
-        own, lv = k[at : at + need], level[at : at + need]
-        at += need
-        keep = np.lexsort((own, lv))[: need - SPARE]
-        out.append(own[keep][lv[keep] > 0])
-    return np.concatenate(out)
+def _share_fine(n: int):
+    def run(table: pa.Table, side: pa.Table) -> pa.Table:
+        own = _refined(table, side) if len(side) else []
+        rows = [(key, keys) for key, _, keys in (_kept(own, side, n) if own else ()) if len(keys)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 2
+        return pa.table({"node": pa.array(cols[0], pa.int64()), "keys": pa.array(cols[1], pa.list_(pa.int64()))})
+
+    return run
 
 
 def _verified(a: str = "hub", b: str = "node"):
@@ -195,21 +236,24 @@ def _verified(a: str = "hub", b: str = "node"):
     return run
 
 
-def verify(edges: DataFrame, sets: DataFrame, group: int = 256) -> DataFrame:
-    """The candidate pairs (hub, node) that really link. A hub's partners are dealt into groups of about `group`."""
-    degree = edges.groupBy("hub").count().select(F.col("hub").alias("h"), F.ceil(F.col("count") / group).alias("parts"))
-    dealt = edges.join(degree, F.col("hub") == F.col("h")).select("hub", "node", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+def verify(pairs: DataFrame, sets: DataFrame, group: int = 256, salts: int = 8) -> DataFrame:
+    """The candidate pairs (hub, node) that really link. A hub's partners are dealt into groups of about `group`; a hub that a
+    third of the corpus shares is counted and joined in `salts` parts, so that none of this meets in one task."""
+    salted = pairs.select("hub", "node", F.pmod(F.xxhash64("node"), F.lit(salts)).alias("salt"))
+    degree = salted.groupBy("hub", "salt").count().groupBy("hub").agg(F.ceil(F.sum("count") / group).alias("parts"))
+    degree = degree.select(F.col("hub").alias("h"), "parts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("s"))
+    dealt = salted.join(degree, (F.col("hub") == F.col("h")) & (F.col("salt") == F.col("s"))).select("hub", "node", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("parts")).alias("part"))
     ask = dealt.select("hub", "part", F.col("node").alias("id")).union(dealt.select("hub", "part", F.col("hub").alias("id")).distinct())
     full = ask.join(sets.select(F.col("node").alias("id"), "shingles", "parity"), "id")
     return full.groupBy("hub", "part").applyInArrow(_verified(), "hub bigint, node bigint")
 
 
-#: Links that one task may hold (16 bytes each); more go through rounds of stars.
-ONE_TASK = 1_000_000
+#: Links that are contracted at a time, wherever they lie: memory, not a limit.
+AT_ONCE = 1 << 20
 
 
-def _united(table: pa.Table) -> pa.Table:
-    """Union-find over a bounded set of links; the smaller root wins."""
+def _forest(u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
+    """Each node that links hold below its smallest one."""
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -217,38 +261,62 @@ def _united(table: pa.Table) -> pa.Table:
             up[x] = x = up[y] if y in up else y
         return x
 
-    for u, v in zip(table["u"].to_pylist(), table["v"].to_pylist(), strict=True):
-        a, b = find(u), find(v)
+    for x, y in zip(u, v, strict=True):
+        a, b = find(x), find(y)
         up[max(a, b)] = min(a, b)
-    nodes = list(up)
-    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())})
+    nodes = [x for x in up if find(x) != x]
+    return nodes, [find(x) for x in nodes]
+
+
+def _contract(batches):
+    """Links of one partition, AT_ONCE at a time, as a forest of stars: as many links or fewer, the same components."""
+    u: list[int] = []
+    v: list[int] = []
+
+    def out():
+        nodes, roots = _forest(u, v)
+        u.clear()
+        v.clear()
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        u += batch["u"].to_pylist()
+        v += batch["v"].to_pylist()
+        if len(u) >= AT_ONCE:
+            yield out()
+    yield out()
 
 
 def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
     """node, root: the smallest node that links reach, for every linked node.
 
-    Up to ONE_TASK links, as counted, are united by one task; beyond that large and small stars alternate, each round written.
+    Large and small stars alternate until nothing changes; in each round every partition first contracts its own links. The same
+    steps run at every size; only the number of rounds follows the links. Each round is written and the one before deleted.
     """
-    edges = tables.written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "stars")
-    if edges.count() <= ONE_TASK:
-        return tables.written(edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_united, "node bigint, root bigint"), "roots")
-    state = None
-    while True:
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
+    edges = tables.written(edges.mapInArrow(_contract, "u bigint, v bigint"), "stars")
+    now = _state(edges)
+    while now[0]:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("c"), "m")
         large = both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(low, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        new = tables.written(small.where("u > v").distinct(), "stars")
-        now = tuple(new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first())
+        new = tables.written(small.where("u > v").distinct().mapInArrow(_contract, "u bigint, v bigint"), "stars")
+        before, now = now, _state(new)
         tables.dropped(edges)
         edges = new
-        if now == state:
+        if now == before:
             break
-        state = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._loomstone_path = edges._loomstone_path
+    return out
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = tables.CHUNK_BYTES) -> DataFrame:
@@ -257,84 +325,113 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk
     Sets are the distinct 5-word shingles over words `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; a text of fewer words is
     one shingle, one without words, or a null, has none and links with nothing. Equal sets are one class, whose smallest key
     stands for it, so a class may hold a third of the corpus. Candidates come from shared piece keys in steps that together lose
-    no component: each key's members are compared with its smallest and its largest one, then, while they lie in different
-    components, with two others; what keys still join across components is compared block by block, by bitmaps first, without a
-    row for a pair that does not link. Keys are filtered by an exchange of 32-bit hashes before any key becomes
-    a row; shared pieces that are most frequent are dropped within the pigeonhole bound, never by a cap.
+    no component, the same ones at every size: each key's members are compared with its smallest and its largest one; sets of keys
+    whose members still lie in different components offer finer pieces, which are compared alike, and then with two others;
+    members of keys that are still open are compared within the key, block by block, by bitmaps first, without a row for a
+    pair that does not link. Keys are filtered by an exchange of 32-bit hashes before any key becomes a row; shared pieces that
+    are most frequent are dropped within the pigeonhole bound, never by a cap.
 
     Keys must be integers; rows with a null key form no links and have a null component. Rows that share a key are one document
-    with several texts. Repeated rows each give a row. An empty table gives no row. Other columns are never read.
+    with several texts. Repeated rows each give a row. Ties: the smallest key stands for a class and for a component. Texts of any
+    length are whole sets. An empty table gives no row. Other columns are never read.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    sizes = tables.written(rows.mapInArrow(_sizes, "key bigint, n bigint, h1 bigint, h2 bigint"), "sizes")
-    classes = tables.written(sizes.where("n > 0 and key is not null").groupBy("n", "h1", "h2").agg(F.min("key").alias("rep")), "classes")
-    sets, links = _links(rows, classes, chunk_bytes)
-    roots = components(links)
+    return row_components(docs, key, text, chunk_bytes).select(F.col("key").alias(key), "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = tables.CHUNK_BYTES) -> DataFrame:
+    """As jaccard_join, with key under that name and th, the hash of the text (xxhash64): rows of one key can be told apart."""
+    rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    sizes = tables.written(rows.mapInArrow(_sizes, "key bigint, th bigint, n bigint, h1 bigint, h2 bigint"), "sizes")
+    classes = tables.written(sizes.where("n > 0 and key is not null").groupBy("n", "h1", "h2").agg(F.min(F.struct("key", "th")).alias("rep")).select("n", "h1", "h2", F.col("rep.key").alias("rep"), F.col("rep.th").alias("rth")), "classes")
+    found = linked(rows, classes, chunk_bytes)
+    roots = found["roots"]
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("n_"), F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), F.coalesce("root", "rep").alias("component_id"))
     named = tables.written(named, "named")
+    tables.dropped(classes, *found.values())
     out = sizes.join(named, (F.col("n") == F.col("n_")) & (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")) & F.col("key").isNotNull(), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    return out.select("key", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
-def _links(rows: DataFrame, classes: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+def linked(rows: DataFrame, classes: DataFrame, chunk_bytes: int = tables.CHUNK_BYTES) -> dict[str, DataFrame]:
+    """Written tables: sets; coarse and fine, the candidate pairs of both grains; open, what is compared within keys; roots."""
     n = tables.chunks_for(rows, chunk_bytes=chunk_bytes)
-    dealt = tables.with_chunk(rows, "key", n).groupBy("chunk")
-    marks = tables.with_chunk(classes.select("rep", "h1"), "rep", n).select("chunk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("answer"), "rep", "h1")
-    offers = dealt.cogroup(marks.groupBy("chunk")).applyInArrow(_offer(n), "bucket int, chunk int, n int, hashes binary, counts binary")
-    replies = offers.groupBy("bucket").applyInArrow(_frequency, "chunk int, bucket int, answer binary")
+    reps = tables.with_chunk(classes.select("rep", "rth", "h1"), n, "rep", "rth")
+    dealt = tables.with_chunk(rows.where("key IS NOT NULL"), n, "key", "th").groupBy("chunk")
+    marks = reps.select("chunk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("answer"), "rep", "h1")
+    offers = dealt.cogroup(marks.groupBy("chunk")).applyInArrow(_offer(n, _chosen), _OFFER)
+    replies = offers.groupBy("bucket").applyInArrow(_frequency, _REPLY)
     side = replies.select("chunk", "bucket", "answer", F.lit(None).cast("bigint").alias("rep"), F.lit(None).cast("bigint").alias("h1")).union(marks)
     sets = tables.written(dealt.cogroup(side.groupBy("chunk")).applyInArrow(_share(n), "node bigint, n bigint, keys array<bigint>, shingles binary, parity binary"), "sets")
 
-    keyed = sets.select("node", "n", F.explode("keys").alias("k"))
+    keyed = sets.select(F.explode("keys").alias("k"), "node")
     ends = keyed.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("g")).where("a < b")
     ends = tables.written(ends.withColumnRenamed("k", "hk"), "ends")
-    found = tables.written(verify(_stars(keyed, ends.select("hk", "a", "b")), sets), "links")
+    coarse = _stars(keyed.withColumn("root", F.col("node")), ends.select("hk", F.array(*(F.struct(F.col(c).alias("node"), F.col(c).alias("root")) for c in "ab")).alias("hubs")))
+    first = tables.written(verify(coarse, sets), "links")
+    roots = components(first)
     # keys of up to three members have no pair left untested; of the others, those that still join different components go on
     keyed = tables.written(keyed.join(ends.where("g > 3"), F.col("k") == F.col("hk"), "left_semi"), "keyed")
+    opened = _open(keyed, roots)
+    tables.dropped(first, ends, keyed)
+
+    some = opened.select("node").distinct().withColumnRenamed("node", "id")
+    some = tables.written(sets.join(some, F.col("node") == F.col("id"), "left_semi").select("node", "shingles"), "some")
+    tables.dropped(opened)
+    m = tables.chunks_for(some, "shingles", chunk_bytes)
+    dealt = tables.with_chunk(some, m, "node").groupBy("chunk")
+    offer = _offer(m, _refined)
+    replies = dealt.applyInArrow(lambda table: offer(table, table), _OFFER).groupBy("bucket").applyInArrow(_frequency, _REPLY)
+    keyed = tables.written(dealt.cogroup(replies.groupBy("chunk")).applyInArrow(_share_fine(m), "node bigint, keys array<bigint>").select(F.explode("keys").alias("k"), "node"), "keyed")
+    fine = []
     for round_ in range(2):
-        open_keys = tables.written(_open(keyed, components(found)), "open")
-        if round_ == 0:
-            by = [F.struct(F.xxhash64(F.lit(i), "node"), F.col("node")) for i in range(2)]
-            picks = tables.written(open_keys.groupBy(F.col("k").alias("hk")).agg(F.min(by[0])["node"].alias("a"), F.min(by[1])["node"].alias("b")), "ends")
-            found = tables.written(found.union(verify(_stars(open_keys, picks), sets)), "links")
-    return sets, tables.written(found.union(_blocks(open_keys, sets)), "links")
+        opened = _open(keyed, roots)
+        tables.dropped(keyed)
+        order = [F.col("node"), -F.col("node")] if round_ == 0 else [F.xxhash64(F.lit(i), "node") for i in range(2)]
+        hubs = opened.groupBy(F.col("k").alias("hk")).agg(F.array(*(F.min(F.struct(o.alias("o"), "node", "root")).dropFields("o") for o in order)).alias("hubs"))
+        fine.append(_stars(opened, hubs))
+        more = tables.written(verify(fine[-1], sets), "links")
+        before, roots = roots, components(roots.select(F.col("node").alias("hub"), F.col("root").alias("node")).union(more))
+        tables.dropped(before, more)
+        keyed = opened
+    opened = _open(keyed, roots)
+    more = tables.written(_within(opened, sets), "links")
+    before, roots = roots, components(roots.select(F.col("node").alias("hub"), F.col("root").alias("node")).union(more))
+    tables.dropped(before, more, keyed, some)
+    return {"sets": sets, "coarse": coarse, "fine": fine[0], "fine_again": fine[1], "open": opened, "roots": roots}
+
+
+_OFFER = "bucket int, chunk int, n int, hashes binary, counts binary"
+_REPLY = "chunk int, bucket int, answer binary"
 
 
 def _stars(keyed: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Each member of a key with each hub of the key, once: as many pairs as members."""
-    both = keyed.select("k", "node").join(hubs, F.col("k") == F.col("hk")).select("node", F.explode(F.array("a", "b")).alias("hub"))
-    return tables.written(both.where("hub <> node").select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct(), "candidates")
+    """Each member of a key with each hub of the key that lies in another component, once: no more pairs than twice the members."""
+    both = keyed.select("k", "node", "root").join(hubs, F.col("k") == F.col("hk")).select("node", "root", F.explode("hubs").alias("hub"))
+    both = both.where("hub.root <> root").select("node", F.col("hub.node").alias("hub"))
+    return tables.written(both.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct(), "candidates")
 
 
 def _open(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     """Keys, with all their members, whose members lie in different components."""
-    placed = tables.written(keyed.select("k", "node", "n").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("k", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
+    placed = keyed.select("k", "node").join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("k", "node", F.coalesce("root", "node").alias("root"))
+    placed = tables.written(placed, "placed")
     split = placed.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select(F.col("k").alias("sk"))
-    return placed.join(tables.written(split, "split"), F.col("k") == F.col("sk"), "left_semi")
-
-
-def _blocks(open_keys: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
-    """Links across components among what open keys join: sets are dealt into blocks of similar size, and each two blocks that can
-    link are compared in one task. A set goes to as many tasks as there are such blocks; no pair becomes a row unless it links."""
-    low = tables.written(open_keys.groupBy("k").agg(F.min("node").alias("hub")).withColumnRenamed("k", "hk"), "low")
-    ties = open_keys.join(low, F.col("k") == F.col("hk")).where("node > hub").select("hub", "node").distinct()
-    nodes = open_keys.select("node", "n", "root").distinct()
-    groups = components(ties).withColumnRenamed("node", "member").withColumnRenamed("root", "cc")
-    nodes = tables.written(nodes.join(groups, F.col("node") == F.col("member")).select("node", "root", "cc", F.floor(F.log(1.25, F.col("n").cast("double"))).alias("band")), "nodes")
-    parts = tables.written(nodes.groupBy(F.col("cc").alias("c"), F.col("band").alias("b")).agg(F.ceil(F.count("*") / block).alias("parts")), "parts")
-    for shift, name in ((0, "own"), (1, "up"), (-1, "down")):
-        other = parts.select(F.col("c").alias(f"c_{name}"), F.col("b").alias(f"b_{name}"), F.col("parts").alias(name))
-        nodes = nodes.join(other, (F.col("cc") == F.col(f"c_{name}")) & (F.col("band") + shift == F.col(f"b_{name}")), "left").drop(f"c_{name}", f"b_{name}")
-    nodes = nodes.withColumn("i", F.pmod(F.xxhash64("node"), F.col("own")))
-    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
-    task = lambda lo, hi, i, j, side: F.struct(lo.alias("lo"), hi.alias("hi"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-    none = F.array().cast("array<struct<lo:bigint,hi:bigint,i:bigint,j:bigint,side:int>>")
-    same = F.transform(upto("own"), lambda j: task(F.col("band"), F.col("band"), F.least(F.col("i"), j), F.greatest(F.col("i"), j), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1)))
-    up = F.when(F.col("up").isNotNull(), F.transform(upto("up"), lambda j: task(F.col("band"), F.col("band") + 1, F.col("i"), j, F.lit(0)))).otherwise(none)
-    down = F.when(F.col("down").isNotNull(), F.transform(upto("down"), lambda j: task(F.col("band") - 1, F.col("band"), j, F.col("i"), F.lit(1)))).otherwise(none)
-    dealt = nodes.select("node", "root", "cc", F.explode(F.concat(same, up, down)).alias("t")).select("node", "root", "cc", "t.*")
+    out = tables.written(placed.join(split, F.col("k") == F.col("sk"), "left_semi"), "open")
+    tables.dropped(placed)
+    return out
+
+
+def _within(opened: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
+    """Links across components among the members of each open key: they are dealt into blocks, and each two blocks are compared in
+    one task. A set goes to as many tasks as its keys have blocks; no pair becomes a row unless it links."""
+    parts = opened.groupBy(F.col("k").alias("pk")).agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = opened.join(parts, F.col("k") == F.col("pk")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")))
+    upto = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
+    task = F.transform(upto, lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1).alias("side")))
+    dealt = dealt.select("k", "node", "root", F.explode(task).alias("t")).select("k", "node", "root", "t.*")
     full = dealt.join(sets.select(F.col("node").alias("id"), "shingles", "parity"), F.col("node") == F.col("id")).drop("id")
-    return full.groupBy("cc", "lo", "hi", "i", "j").applyInArrow(_compare, "hub bigint, node bigint")
+    return full.groupBy("k", "lo", "hi").applyInArrow(_compare, "hub bigint, node bigint")
 
 
 def _folded(parity: list[bytes], size: int) -> np.ndarray:

@@ -153,31 +153,74 @@ def test_jaccard_join_on_a_hot_near_copy_group(spark):
     assert [got[i].component_id for i in range(len(group))] == roots
 
 
-def test_components_in_one_task_and_in_rounds(spark):
+def test_components(spark):
     rng = random.Random(4)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(190)] + [(400 + i, 401 + i) for i in range(20)] + [(7, 7)]
-    df = spark.createDataFrame(links, "hub bigint, node bigint")
-    want = {r.node: r.root for r in parity_join.components(df).collect()}
-    assert all(want[a] == want[b] for a, b in links if a != b) and all(want[want[x]] == want[x] <= x for x in want)
-    old, parity_join.ONE_TASK = parity_join.ONE_TASK, 0
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(190)] + [(400 + i, 401 + i) for i in range(60)] + [(7, 7)]
+    df = spark.createDataFrame(links, "hub bigint, node bigint").repartition(7)
+    old, parity_join.AT_ONCE = parity_join.AT_ONCE, 3
     try:
-        assert {r.node: r.root for r in parity_join.components(df).collect()} == want
+        got = {r.node: r.root for r in parity_join.components(df).collect()}
     finally:
-        parity_join.ONE_TASK = old
+        parity_join.AT_ONCE = old
+    assert all(got[a] == got[b] for a, b in links if a != b) and all(got[got[x]] == got[x] <= x for x in got)
+    assert len({got[x] for x in range(400, 461)}) == 1 and got[460] == 400
+    assert parity_join.components(df.limit(0)).count() == 0
 
 
 def test_piece_bound():
-    """Linked sets always share an offered key, whatever their sizes."""
+    """Linked sets always share an offered key, whatever their sizes; of finer pieces, whatever order of rarity they are kept in."""
     rng = np.random.default_rng(1)
-    for n in [4, 5, 9, 15, 40, 111, 112, 113, 500, 2000]:
+    for n in [1, 2, 4, 5, 9, 15, 40, 111, 112, 113, 500, 2000]:
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         drop = len(a) // 9
-        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)]))
-        assert len(np.intersect1d(parity_join.piece_keys(a), parity_join.piece_keys(b))) > parity_join.SPARE
-        assert parity_join.hamming(parity_join.bitmap(a), parity_join.bitmap(b)) <= len(np.setxor1d(a, b))
+        for b in (np.concatenate([a[drop:], rng.integers(0, 2**63, drop, dtype=np.uint64)]), np.concatenate([a, rng.integers(0, 2**63, n // 4, dtype=np.uint64)]), a[: -(-4 * n // 5)]):
+            b = np.unique(b)
+            flat = lambda s: np.concatenate([k for k, _ in parity_join.piece_keys(s)])
+            assert len(np.intersect1d(flat(a), flat(b))) > min(parity_join.SPARE, n)
+            for seed in range(5):
+                order = lambda k, seed=seed: parity_join.mix(k ^ np.uint64(seed))
+                kept = [np.concatenate([k[np.argsort(order(k))][:m] for k, m in parity_join.fine_keys(s)]) for s in (a, b)]
+                assert len(np.intersect1d(*kept))
+            assert parity_join.hamming(parity_join.bitmap(a), parity_join.bitmap(b)) <= len(np.setxor1d(a, b))
         assert (parity_join.unpack48(parity_join.pack48(a)) == a >> np.uint64(16)).all()
 
 
+def _tried(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "key bigint, text string").withColumn("th", F.xxhash64("text"))
+    sizes = df.mapInArrow(parity_join._sizes, "key bigint, th bigint, n bigint, h1 bigint, h2 bigint")
+    classes = sizes.groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"), F.min("th").alias("rth"))
+    found = parity_join.linked(df, classes, 20_000)
+    within = found["open"].groupBy("k").count().selectExpr("coalesce(sum(count * (count - 1) / 2), 0) AS n").first().n
+    return found["coarse"].count() + found["fine"].count() + found["fine_again"].count() + int(within)
+
+
+def test_jaccard_join_of_documents_that_share_a_template(spark):
+    """A template of two thirds of each document links nothing; pairs tried grow with the documents, not with their square."""
+    rng = random.Random(9)
+    template = words(rng, 100, 10**6)
+    make = lambda n: [template + " " + words(rng, 50, 10**6) for _ in range(n)]
+    few, many = _tried(spark, make(60)), _tried(spark, make(240))
+    assert few <= 60 * 60 and many <= 240 * 60 and many <= 6 * max(few, 60)
+    group = make(80)
+    group += [" ".join(w if rng.random() > 0.01 else "edit" for w in group[k].split()) for k in range(0, 40, 3)]
+    n, roots = jaccard_roots(group)
+    got = by_id(parity_join.jaccard_join(spark.createDataFrame(list(enumerate(group)), "doc_id bigint, text string"), chunk_bytes=20_000))
+    assert [got[i].component_id for i in range(len(group))] == roots and len(set(roots)) < len(roots)
+
+
+def test_jaccard_join_of_mixed_passages(spark):
+    """Documents made of a few common passages, near the threshold on both sides: keys stay open to the last step."""
+    rng = random.Random(12)
+    passages = [words(rng, 30, 10**6) for _ in range(9)]
+    group = [" ".join(rng.sample(passages, rng.choice([4, 5, 6]))) + " " + words(rng, rng.randrange(12), 10**6) for _ in range(150)]
+    n, roots = jaccard_roots(group)
+    df = spark.createDataFrame([*enumerate(group), (None, group[0]), (None, None), (3, group[3])], "doc_id bigint, text string")
+    rows = parity_join.jaccard_join(df, chunk_bytes=20_000).collect()
+    got = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert [got[i].component_id for i in range(len(group))] == roots
+    assert len(rows) == 153 and [r.component_id for r in rows if r.doc_id is None] == [None, None]
+
+
 def test_quality_rules(spark, docs, empty, texts):
     trusted = spark.createDataFrame([(5,), (6,), (None,)], "doc_id bigint")
     got = by_id(llr_rules.quality_rules(docs, trusted))
