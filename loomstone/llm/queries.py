@@ -148,8 +148,9 @@ CONTROL_TEXT = r"\### Assistant: </turn> ok"
 def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("SELECT -7L AS conv_id, id AS turn, element_at(array('user', 'assistant'), int(id + 1)) AS role FROM range(2)").withColumn("text", F.lit(CONTROL_TEXT))
-    nodes, paths = chat_tree(turns.union(extra), tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern())
-    return read_back(nodes, paths).withColumnRenamed("conv", "conv_id")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    nodes, paths = chat_tree(turns.union(extra), path, token_pattern())
+    return read_back(nodes, paths, path).withColumnRenamed("conv", "conv_id")
 
 
 ORACLES["op6_chat_tree"] = r"""

@@ -299,8 +299,9 @@ def test_chat_tree(spark):
     rows = [(c, k, r, t, 1) for c, own in convs.items() for k, (r, t) in enumerate(own)] + [(None, 0, None, None, 1)]
     convs[None] = [("", "")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, node int").repartition(3)
-    nodes, paths = chat_tree.chat_tree(df, tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern())
-    got = {r.conv: r for r in chat_tree.read_back(nodes, paths).collect()}
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    nodes, paths = chat_tree.chat_tree(df, path, token_pattern())
+    got = {r.conv: r for r in chat_tree.read_back(nodes, paths, path).collect()}
     assert got.keys() == convs.keys()
     for c, own in convs.items():
         loss = "".join(t for r, t in own if r == "assistant")
@@ -322,7 +323,36 @@ def test_chat_tree(spark):
         assert sorted(spans) == [x for a in r.ancestors for x in range(a.start, a.end)] == sorted(set(spans))
         assert r.position == len(spans) and all(x < r.start for x in spans)
     none = spark.createDataFrame([], df.schema)
-    assert chat_tree.read_back(*chat_tree.chat_tree(none, tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern())).count() == 0
+    assert chat_tree.read_back(*chat_tree.chat_tree(none, path, token_pattern()), path).count() == 0
+
+
+def test_chat_tree_branches_at_any_depth(spark):
+    """Subtrees are contiguous in the stream below any number of shared turns; repeated turns and clashing columns change nothing."""
+    rng = random.Random(6)
+    trunk = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(70)]
+    convs = {1: trunk[:60], 2: trunk[:41] + [("user", "b")] * 3, 3: trunk[:45] + [("user", "c")], 4: trunk[:45] + [("user", "c"), ("assistant", "d" * 3000)], 5: trunk[:45] + [("user", "c"), ("user", "e")]}
+    for c in range(6, 40):
+        at = rng.randrange(1, 70)
+        convs[c] = trunk[:at] + [("user", rng.choice("xyz")) for _ in range(rng.randrange(4))]
+    rows = [(c, k, r, t, "owner", b"place") for c, own in convs.items() for k, (r, t) in enumerate(own)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, node string, place binary").repartition(5)
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    nodes, paths = chat_tree.chat_tree(df, path, token_pattern())
+    got = {r.conv: r for r in chat_tree.read_back(nodes, paths, path).collect()}
+    for c, own in convs.items():
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+    tree = {bytes(r.node): r for r in nodes.collect()}
+    assert len(tree) == len({tuple(own[: k + 1]) for own in convs.values() for k in range(len(own))})
+    size, low, high = {}, {}, {}
+    for r in tree.values():  # every subtree is one gapless interval that begins with its own node
+        up = r
+        while up is not None:
+            k = bytes(up.node)
+            size[k] = size.get(k, 0) + len(r.tokens)
+            low[k], high[k] = min(low.get(k, r.start), r.start), max(high.get(k, 0), r.start + len(r.tokens))
+            up = tree[bytes(up.parent)] if up.parent is not None else None
+    assert all(high[k] - low[k] == size[k] and low[k] == tree[k].start for k in tree)
+    assert any(len(r.ancestors) > 1 and r.position > 0 for r in tree.values())
 
 
 @pytest.mark.parametrize("rule", token_attr.RULES)
