@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,58 +11,84 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 from . import tables
 from .textcore import _LOWER, ALNUM, Words, covered, per_text, slices, windows
 
-#: Benchmark text in one broadcast. A larger benchmark is dealt into parts, scanned one after the other.
-PART_BYTES = 1 << 20
+#: Benchmark text in one broadcast; its index takes about four times that. A larger benchmark is dealt into parts of this size.
+PART_BYTES = 32 << 20
+#: Words of a piece: longer items are dealt by pieces that overlap, so that one item is no larger than a part.
+PIECE = 100_000
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _same(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, m: int) -> np.ndarray:
+    """Whether the m words from i in a are those from j in b, all their bytes. Each side has starts, sizes and bytes of its words."""
+    ok = np.ones(len(i), bool)
+    for k in range(m):
+        live = np.flatnonzero(ok)
+        x, y = i[live] + k, j[live] + k
+        ok[live] = a[1][x] == b[1][y]
+        keep = ok[live]
+        live, x, y = live[keep], x[keep], y[keep]
+        size = b[1][y]
+        differ = _LOWER[a[2][_ranges(a[0][x], size)]] != b[2][_ranges(b[0][y], size)]
+        ok[live] = np.diff(np.concatenate([[0], np.cumsum(differ)])[np.concatenate([[0], np.cumsum(size)])]) == 0
+    return ok
+
+
 class Index:
-    """Windows of benchmark items by length: sorted hashes, and for each the word sequences and items behind it."""
+    """Distinct windows of benchmark items by length: sorted hashes, for each the place of its words in one buffer, and its items."""
 
     def __init__(self, items: list[tuple], n: int):
-        self.n, found = n, defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+        self.names = np.array([str(i) for i, _ in items], object)
         words = Words.of(pa.array([t or "" for _, t in items], pa.large_string()), ALNUM, lower=True)
-        h, flat = words.hashes(), _LOWER[words.data]
-        for m in sorted({min(n, int(c)) for c in words.counts if c}):
-            w = windows(h, m)
-            for k, count in enumerate(words.counts):
-                if min(n, int(count)) == m and count:
-                    for i in range(words.bounds[k], words.bounds[k + 1] - m + 1):
-                        seq = tuple(flat[words.starts[j] : words.ends[j]].tobytes() for j in range(i, i + m))
-                        found[m][int(w[i])][seq].add(items[k][0])
-        self.by_length = {m: (np.array(sorted(x), np.uint64), {k: dict(v) for k, v in x.items()}) for m, x in found.items()}
+        h, sizes = words.hashes(), (words.ends - words.starts).astype(np.int32)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int32) if len(sizes) else sizes
+        self.side = starts, sizes, _LOWER[words.data[_ranges(words.starts, sizes)]]
+        own, self.by_length = np.minimum(words.counts, n), {}
+        for m in sorted(set(own[own > 0].tolist())):
+            at = np.flatnonzero(words.valid(m) & np.repeat(own == m, words.counts)).astype(np.int32)
+            w = windows(h, m)[at]
+            order = np.argsort(w, kind="stable")
+            w, at = w[order], at[order]
+            run = np.cumsum(np.concatenate([[True], w[1:] != w[:-1]])) - 1
+            first = at[np.flatnonzero(np.diff(run, prepend=-1))]
+            kind, more = run.copy(), {}
+            for i in np.flatnonzero(~_same(self.side, at, self.side, first[run], m)):  # other words of the same hash
+                kind[i] = more.setdefault((run[i], self._words(at[i], m)), run[-1] + 1 + len(more))
+            kinds, where = np.unique(kind, return_index=True)
+            kinds = kinds[np.argsort(w[where], kind="stable")]
+            where = where[np.argsort(w[where], kind="stable")]
+            place = np.empty(len(kinds), np.int64)
+            place[kinds] = np.arange(len(kinds))
+            pairs = np.unique((place[kind] << 32) + np.searchsorted(words.bounds, at, "right") - 1)
+            bounds = np.searchsorted(pairs >> 32, np.arange(len(kinds) + 1))
+            self.by_length[m] = w[where], at[where], bounds.astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+
+    def _words(self, at: int, m: int) -> tuple:
+        starts, sizes, data = self.side
+        return tuple(data[starts[k] : starts[k] + sizes[k]].tobytes() for k in range(at, at + m))
 
     def scan(self, words: Words) -> tuple[np.ndarray, list[set]]:
         """Which words lie in an occurrence, and each text's items. Hash hits are verified byte by byte."""
         h, hit, items = words.hashes(), np.zeros(len(words), bool), [set() for _ in words.counts]
-        for m, (known, sequences) in self.by_length.items():
+        side = words.starts, words.ends - words.starts, words.data
+        for m, (known, first, bounds, owners) in self.by_length.items():
             w = windows(h, m)
-            at = np.searchsorted(known, w)
-            at[at == len(known)] = 0
-            place = np.flatnonzero((known[at] == w) & words.valid(m))
-            true = []
-            for key in np.unique(w[place]):
-                same = place[w[place] == key]
-                for seq, owners in sequences[int(key)].items():
-                    real = same[_equal(words, same, seq)]
-                    true.append(real)
-                    for k in np.unique(np.searchsorted(words.bounds, real, "right") - 1):
-                        items[k] |= owners
-            if true:
-                hit |= covered(np.concatenate(true), m, len(words))
+            low = np.searchsorted(known, w)
+            at = np.flatnonzero((known[np.minimum(low, len(known) - 1)] == w) & words.valid(m))
+            count = np.searchsorted(known, w[at], "right") - low[at]
+            at, kind = np.repeat(at, count), _ranges(low[at], count)
+            true = _same(side, at, self.side, first[kind], m)
+            at, kind = at[true], kind[true]
+            hit |= covered(at, m, len(words))
+            for k, one in zip(*np.unique(np.stack([np.searchsorted(words.bounds, at, "right") - 1, kind]), axis=1), strict=True):
+                items[k] |= set(self.names[owners[bounds[one] : bounds[one + 1]]])
         return hit, items
 
 
-def _equal(words: Words, at: np.ndarray, seq: tuple) -> np.ndarray:
-    ok = np.ones(len(at), bool)
-    for i, word in enumerate(seq):
-        live = np.flatnonzero(ok)
-        s = words.starts[at[live] + i]
-        ok[live] = words.ends[at[live] + i] - s == len(word)
-        live = live[ok[live]]
-        target = np.frombuffer(word, np.uint8)
-        ok[live] = (_LOWER[words.data[words.starts[at[live] + i][:, None] + np.arange(len(word))]] == target).all(1)
-    return ok
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each of many ranges, one after the other."""
+    size = np.asarray(size, np.int64)
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.asarray(start, np.int64) - (ends - size), size)
 
 
 def _spans(words: Words, hit: np.ndarray, k: int) -> list[dict]:
@@ -81,36 +105,60 @@ def _without(text: pa.Scalar, spans: list[dict]) -> str:
     return (out + raw[at:]).decode()
 
 
-def _parts(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"))
-    n = max(1, -(-tables.text_bytes(rows) // PART_BYTES))
-    return [rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
+def _pieces(n: int):
+    """Items of over PIECE words cut into pieces that overlap by n - 1 words: they hold the same windows."""
+
+    def run(batches):
+        for batch in batches:
+            names, texts = [], []
+            for name, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                words = Words.of(pa.array([text or ""], pa.large_string()), ALNUM)
+                for i in range(0, max(1, len(words) - n + 1), PIECE):
+                    last = min(len(words), i + PIECE + n - 1) - 1
+                    names.append(name)
+                    texts.append(words.data[words.starts[i] : words.ends[last]].tobytes().decode() if len(words) else "")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["item", "text"])
+
+    return run
+
+
+def _parts(benchmark: DataFrame, n: int, item: str, text: str) -> list[DataFrame]:
+    """The benchmark as pieces (item, text), in parts that fit a broadcast."""
+    rows = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text}`").alias("text"))
+    rows = rows.mapInArrow(_pieces(n), "item string, text string")
+    k = max(1, -(-tables.text_bytes(rows) // PART_BYTES))
+    if k == 1:
+        return [rows]
+    rows = tables.written(rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(k))), "benchmark")
+    return [rows.where(F.col("part") == i).drop("part") for i in range(k)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", carry: bool = False) -> DataFrame:
     """One row for each document: key, n_words, n_hit, n_items, items (sorted strings), spans (byte ranges of hit runs).
 
     A window is n consecutive words of an item; an item of fewer words, but not none, is one window. Words are
-    `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. The hash set goes out by broadcast while the benchmark
-    holds at most PART_BYTES of text; beyond that it is dealt into parts of about that size, and the documents are scanned
-    once for each, with the result so far written in between. Hash hits are verified word by word, so the result is exact.
-    The scan has no shuffle: a document's work depends on its own words only, so no key can be hot.
+    `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. The hash set goes out by broadcast: documents are read once
+    while the benchmark holds at most PART_BYTES of text; beyond that it is dealt into parts of about that size, and the
+    documents are scanned once for each, with the result so far written in between. Hash hits are verified byte by byte, so the
+    result is exact. The scan has no shuffle: a document's work depends on its own words only, so no key can be hot.
 
     Nulls: a null text (either side) has no words; a null item id is listed as "null"; a null key is kept. Empty tables give no
-    row, or no hit. Repeated rows each give a row. Other columns are never read; with carry they pass through and the result has
+    row, or no hit. Repeated rows each give a row; items that share an id, or a text, are listed once each by id. Texts of any
+    length are scanned whole. Other columns are never read; with carry they pass through and the result has
     all columns of docs and one struct more, "_verdict", with those above and clean_text, the text without its hit spans
     (null if it has none).
     """
     out = tables.boxed(docs, key, text, carry)
     fields = out.schema.fields
-    spark, parts = docs.sparkSession, _parts(benchmark, item, item_text)
+    spark, parts = docs.sparkSession, _parts(benchmark, n, item, item_text)
     out = out.withColumns({"hits": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")})
     for i, part in enumerate(parts):
-        known = spark.sparkContext.broadcast(Index([("null" if r[0] is None else str(r[0]), r[1]) for r in part.collect()], n))
+        known = spark.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], n))
         last = i == len(parts) - 1
         out = out.mapInArrow(_scanner(known, last, keep_text=carry or not last), StructType([*fields, *_FOUND.fields]))
         if i < len(parts) - 1:
-            out = tables.written(out.drop("n_words", "n_hit", "spans", "clean_text"), "decontam")
+            before, out = out, tables.written(out.drop("n_words", "n_hit", "spans", "clean_text"), "decontam")
+            tables.dropped(before)
     verdict = [F.col("key").alias(key), F.col("n_words"), F.col("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.col("items"), F.col("spans")]
     return out.select(*tables.unboxed(out, docs, key, text), F.struct(*verdict, F.col("clean_text")).alias(tables.free("_verdict", docs))) if carry else out.select(*verdict)
 
