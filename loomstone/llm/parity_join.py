@@ -290,13 +290,12 @@ def _contract(batches):
 def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
     """node, root: the smallest node that links reach, for every linked node.
 
-    Large and small stars alternate until nothing changes; in each round every partition first contracts its own links. The same
+    Large and small stars alternate until only stars are left; in each round every partition contracts its own links. The same
     steps run at every size; only the number of rounds follows the links. Each round is written and the one before deleted.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = tables.written(edges.mapInArrow(_contract, "u bigint, v bigint"), "stars")
-    now = _state(edges)
-    while now[0]:
+    while not _stars_only(edges):
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("c"), "m")
         large = both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -304,19 +303,18 @@ def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(low, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         new = tables.written(small.where("u > v").distinct().mapInArrow(_contract, "u bigint, v bigint"), "stars")
-        before, now = now, _state(new)
         tables.dropped(edges)
         edges = new
-        if now == before:
-            break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     out = nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     out._loomstone_path = edges._loomstone_path
     return out
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every node has one link down, or links up only."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("x").agg(F.sum("down").alias("down"), F.count("*").alias("n")).where("down > 0 AND n > 1").isEmpty()
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk_bytes: int = tables.CHUNK_BYTES) -> DataFrame:
@@ -354,7 +352,7 @@ def row_components(docs: DataFrame, key: str = "doc_id", text: str = "text", chu
 
 
 def linked(rows: DataFrame, classes: DataFrame, chunk_bytes: int = tables.CHUNK_BYTES) -> dict[str, DataFrame]:
-    """Written tables: sets; coarse and fine, the candidate pairs of both grains; open, what is compared within keys; roots."""
+    """Written tables: sets; coarse and fine, the candidate pairs of both grains; open, the keys that are compared within; roots."""
     n = tables.chunks_for(rows, chunk_bytes=chunk_bytes)
     reps = tables.with_chunk(classes.select("rep", "rth", "h1"), n, "rep", "rth")
     dealt = tables.with_chunk(rows.where("key IS NOT NULL"), n, "key", "th").groupBy("chunk")
@@ -383,22 +381,21 @@ def linked(rows: DataFrame, classes: DataFrame, chunk_bytes: int = tables.CHUNK_
     offer = _offer(m, _refined)
     replies = dealt.applyInArrow(lambda table: offer(table, table), _OFFER).groupBy("bucket").applyInArrow(_frequency, _REPLY)
     keyed = tables.written(dealt.cogroup(replies.groupBy("chunk")).applyInArrow(_share_fine(m), "node bigint, keys array<bigint>").select(F.explode("keys").alias("k"), "node"), "keyed")
-    fine = []
-    for round_ in range(2):
-        opened = _open(keyed, roots)
-        tables.dropped(keyed)
-        order = [F.col("node"), -F.col("node")] if round_ == 0 else [F.xxhash64(F.lit(i), "node") for i in range(2)]
-        hubs = opened.groupBy(F.col("k").alias("hk")).agg(F.array(*(F.min(F.struct(o.alias("o"), "node", "root")).dropFields("o") for o in order)).alias("hubs"))
-        fine.append(_stars(opened, hubs))
-        more = tables.written(verify(fine[-1], sets), "links")
-        before, roots = roots, components(roots.select(F.col("node").alias("hub"), F.col("root").alias("node")).union(more))
-        tables.dropped(before, more)
-        keyed = opened
     opened = _open(keyed, roots)
-    more = tables.written(_within(opened, sets), "links")
-    before, roots = roots, components(roots.select(F.col("node").alias("hub"), F.col("root").alias("node")).union(more))
+    hubs = opened.groupBy(F.col("k").alias("hk")).agg(F.array(*(f(F.struct("node", "root")) for f in (F.min, F.max))).alias("hubs"))
+    fine = _stars(opened, hubs)
+    more = tables.written(verify(fine, sets), "links")
+    before, roots = roots, components(_joined(roots, more))
     tables.dropped(before, more, keyed, some)
-    return {"sets": sets, "coarse": coarse, "fine": fine[0], "fine_again": fine[1], "open": opened, "roots": roots}
+    before, opened = opened, _open(opened, roots)
+    more = _within(opened, sets)
+    gone, roots = roots, components(_joined(roots, more))
+    tables.dropped(before, gone, more)
+    return {"sets": sets, "coarse": coarse, "fine": fine, "open": opened, "roots": roots}
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("hub"), F.col("root").alias("node")).union(links)
 
 
 _OFFER = "bucket int, chunk int, n int, hashes binary, counts binary"
@@ -423,15 +420,24 @@ def _open(keyed: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _within(opened: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
-    """Links across components among the members of each open key: they are dealt into blocks, and each two blocks are compared in
-    one task. A set goes to as many tasks as its keys have blocks; no pair becomes a row unless it links."""
-    parts = opened.groupBy(F.col("k").alias("pk")).agg(F.ceil(F.count("*") / block).alias("parts"))
+    """Links across components among the members of each open key; keys of the same members count once.
+
+    Members are dealt into blocks, and each two blocks are compared in one task, first by bitmaps alone: that names the members
+    with any partner within the bound. Those are compared by their sets, once for each such group of members, whatever keys it
+    came from. A member goes to as many tasks as its keys have blocks; no pair becomes a row unless it links.
+    """
+    alike = opened.groupBy("k").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)))
+    parts = tables.written(alike.groupBy("n", "x0", "x1").agg(F.min("k").alias("pk")).select("pk", F.ceil(F.col("n") / block).alias("parts")), "parts")
     dealt = opened.join(parts, F.col("k") == F.col("pk")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")))
     upto = F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)
     task = F.transform(upto, lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1).alias("side")))
     dealt = dealt.select("k", "node", "root", F.explode(task).alias("t")).select("k", "node", "root", "t.*")
-    full = dealt.join(sets.select(F.col("node").alias("id"), "shingles", "parity"), F.col("node") == F.col("id")).drop("id")
-    return full.groupBy("k", "lo", "hi").applyInArrow(_compare, "hub bigint, node bigint")
+    short = dealt.join(sets.select(F.col("node").alias("id"), "n", "parity"), F.col("node") == F.col("id")).drop("id")
+    near = tables.written(short.groupBy("k", "lo", "hi").applyInArrow(_near, "g1 bigint, g2 bigint, node bigint, root bigint").distinct(), "near")
+    full = near.join(sets.select(F.col("node").alias("id"), "shingles", "parity"), F.col("node") == F.col("id")).drop("id")
+    out = tables.written(full.groupBy("g1", "g2").applyInArrow(_compare, "hub bigint, node bigint"), "links")
+    tables.dropped(parts, near)
+    return out
 
 
 def _folded(parity: list[bytes], size: int) -> np.ndarray:
@@ -444,21 +450,38 @@ def _folded(parity: list[bytes], size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def _within_bound(x: int, near: np.ndarray, bits: np.ndarray, size: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Of the members near those in another component whose sizes and bitmaps allow a link with member x."""
+    near = near[root[near] != root[x]]
+    near = near[(80 * np.maximum(size[near], size[x]) <= 100 * np.minimum(size[near], size[x]))]
+    return near[np.bitwise_count(bits[near] ^ bits[x]).sum(1, dtype=np.int64) <= (size[near] + size[x]) // 9]
+
+
+def _near(table: pa.Table) -> pa.Table:
+    """Of one task, left against right or all against all: the members with a partner within the bound, under a digest of them all."""
+    table = table.sort_by("node")
+    node, root, side, size = (table[c].to_numpy() for c in ("node", "root", "side", "n"))
+    parity = table["parity"].to_pylist()
+    bits, found = _folded(parity, min(map(len, parity))), np.zeros(len(node), bool)
+    for x in range(len(node)):
+        near = np.arange(x + 1, len(node)) if side[x] == 2 else np.flatnonzero(side == 1) if side[x] == 0 else np.empty(0, np.int64)
+        near = _within_bound(x, near, bits, size, root)
+        found[near] = True
+        found[x] |= len(near) > 0
+    g = digest(node[found].astype(U64))
+    return pa.table({"g1": pa.array([g[0]] * found.sum(), pa.int64()), "g2": pa.array([g[1]] * found.sum(), pa.int64()), "node": pa.array(node[found]), "root": pa.array(root[found])})
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """Links of one task: left against right, or all against all. Pairs already in one component are passed over."""
+    """Links of one group of members, all against all. Pairs already in one component are passed over."""
     table = table.sort_by("node")
-    node, side = table["node"].to_numpy(), table["side"].to_numpy()
+    node, root = table["node"].to_numpy(), table["root"].to_numpy().copy()
     parity, raw = table["parity"].to_pylist(), table["shingles"].to_pylist()
     bits, size = _folded(parity, min(map(len, parity))), np.array([len(x) // 6 for x in raw])
-    root = table["root"].to_numpy().copy()
     sets: dict[int, np.ndarray] = {}
     links = []
     for x in range(len(node)):
-        near = np.arange(x + 1, len(node)) if side[x] == 2 else np.flatnonzero(side == 1) if side[x] == 0 else np.empty(0, np.int64)
-        near = near[root[near] != root[x]]
-        near = near[(80 * np.maximum(size[near], size[x]) <= 100 * np.minimum(size[near], size[x]))]
-        near = near[np.bitwise_count(bits[near] ^ bits[x]).sum(1, dtype=np.int64) <= (size[near] + size[x]) // 9]
-        for y in near:
+        for y in _within_bound(x, np.arange(x + 1, len(node)), bits, size, root):
             if root[x] == root[y]:
                 continue
             for k in (x, y):
@@ -466,6 +489,6 @@ def _compare(table: pa.Table) -> pa.Table:
                     sets[k] = unpack48(raw[k])
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if 100 * both >= 80 * (size[x] + size[y] - both):
-                links.append((min(node[x], node[y]), max(node[x], node[y])))
+                links.append((node[x], node[y]))
                 root[root == root[y]] = root[x]
     return pa.table({"hub": pa.array([a for a, _ in links], pa.int64()), "node": pa.array([b for _, b in links], pa.int64())})

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,11 @@ def test_decontaminate(spark, docs, empty, texts):
         check(decontam.decontaminate(docs, bench))
     finally:
         decontam.PART_BYTES = old
+    old, decontam.PIECE = decontam.PIECE, 20
+    try:  # long items go in pieces
+        check(decontam.decontaminate(docs, bench))
+    finally:
+        decontam.PIECE = old
     assert decontam.decontaminate(empty, bench).count() == 0
     assert decontam.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     carried = decontam.decontaminate(docs, bench, carry=True)
@@ -109,6 +115,28 @@ def test_decontaminate(spark, docs, empty, texts):
     assert "same line" not in cut[22], cut[22]
 
 
+def test_decontaminate_by_a_large_benchmark(spark):
+    """20 MiB of benchmark: one index of bounded size, and the documents are read once."""
+    rng = random.Random(2)
+    items = [(k, words(rng, 2500, 10**7)) for k in range(960)] + [(None, "a b c")]
+    assert sum(len(t.encode()) for _, t in items) > 20 << 20
+    picked = [" ".join(items[k][1].split()[100:120]) for k in (3, 500)]
+    rows = [(1, "before " + picked[0] + " after"), (2, re.sub("[a-z]", lambda m: m[0].upper(), picked[1])), (3, "clean text"), (4, "A, b; C"), (None, None), (2, picked[1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = decontam.decontaminate(docs, spark.createDataFrame(items, "item_id int, text string"))
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r["items"]) for r in out.collect())
+    n = [len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", p)) for p in picked]
+    assert got == [(0, 0, 0, []), (1, n[0] + 2, n[0], ["3"]), (2, n[1], n[1], ["500"]), (2, n[1], n[1], ["500"]), (3, 2, 0, []), (4, 3, 3, ["null"])]
+    assert str(out._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+
+
+def test_decontamination_index_tells_equal_hashes_apart(monkeypatch):
+    monkeypatch.setattr(decontam, "windows", lambda h, n: np.zeros(len(h), np.uint64))
+    index = decontam.Index([("a", "one two three"), ("b", "two three four"), ("c", "one two three")], 2)
+    hit, items = index.scan(decontam.Words.of(pa.array(["x one two y", "three four three", "two one"]), decontam.ALNUM, lower=True))
+    assert hit.tolist() == [False, True, True, False, True, True, False, False, False] and items == [{"a", "c"}, {"b"}, set()]
+
+
 def jaccard_roots(texts):
     sets = []
     for t in texts:
@@ -191,7 +219,7 @@ def _tried(spark, texts):
     classes = sizes.groupBy("n", "h1", "h2").agg(F.min("key").alias("rep"), F.min("th").alias("rth"))
     found = parity_join.linked(df, classes, 20_000)
     within = found["open"].groupBy("k").count().selectExpr("coalesce(sum(count * (count - 1) / 2), 0) AS n").first().n
-    return found["coarse"].count() + found["fine"].count() + found["fine_again"].count() + int(within)
+    return found["coarse"].count() + found["fine"].count() + int(within)
 
 
 def test_jaccard_join_of_documents_that_share_a_template(spark):
