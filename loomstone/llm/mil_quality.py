@@ -1,5 +1,6 @@
 """Quality classifier by attention-based multiple-instance learning: passages are encoded, gated attention weighs them, and the
-weighted representation is scored. Only document labels train it; the attention learns which passages decide."""
+weighted representation is scored. A passage is encoded from its shape and from word embeddings that are learnt together with the
+attention. Only document labels train it; the attention learns which passages decide."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import tables
@@ -16,24 +18,44 @@ from .textcore import U64, Words, mix, slices
 
 #: Words of a passage.
 PASSAGE = 64
-_HASHED = 48
+#: Hashed words that have an embedding of their own.
+BUCKETS = 2048
 _CLASSES = [np.zeros(256, bool) for _ in range(5)]
 _CLASSES[0][0x41:0x5B] = True  # upper case
 _CLASSES[1][0x61:0x7B] = True  # lower case
 _CLASSES[2][0x30:0x3A] = True  # digits
 _CLASSES[3][0x80:] = True
 _CLASSES[4][[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
-#: Numbers that describe a passage.
-FEATURES = 12 + _HASHED
+#: Numbers that describe a passage's shape.
+SHAPE = 12
 
 
-def passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The features of every passage of every text, and where each text's passages begin. A text without words has one of zeros."""
+@dataclass
+class Passages:
+    """Passages of many texts: shapes, word buckets, where each passage's words and each text's passages begin (one entry more)."""
+
+    shape: np.ndarray
+    bucket: np.ndarray
+    at: np.ndarray
+    bounds: np.ndarray
+
+    def text(self, k: int) -> Passages:
+        i, j = self.bounds[k], self.bounds[k + 1]
+        return Passages(self.shape[i:j], self.bucket[self.at[i] : self.at[j]], self.at[i : j + 1] - self.at[i], np.array([0, j - i]))
+
+    @staticmethod
+    def joined(parts: list[Passages]) -> Passages:
+        ends = lambda sizes: np.concatenate([[0], np.cumsum(sizes)])
+        return Passages(np.concatenate([p.shape for p in parts]), np.concatenate([p.bucket for p in parts]), ends(np.concatenate([np.diff(p.at) for p in parts])), ends(np.concatenate([np.diff(p.bounds) for p in parts])))
+
+
+def passages(words: Words) -> Passages:
+    """Every passage of every text. A text without words has one, of zeros."""
     n_passages = np.maximum(1, -(-words.counts // PASSAGE))
     bounds = np.concatenate([[0], np.cumsum(n_passages)])
-    out = np.zeros((bounds[-1], FEATURES), np.float32)
+    out = np.zeros((bounds[-1], SHAPE), np.float32)
     if not len(words):
-        return out, bounds
+        return Passages(out, np.empty(0, np.uint16), np.zeros(len(out) + 1, np.int64), bounds)
     text = words.texts()
     place = np.arange(len(words)) - words.bounds[text]
     of = bounds[text] + place // PASSAGE
@@ -56,72 +78,89 @@ def passages(words: Words) -> tuple[np.ndarray, np.ndarray]:
     out[rows, 9] = add(np.concatenate([[False], (h[1:] == h[:-1]) & (of[1:] == of[:-1])])) / count
     out[rows, 10] = np.log1p(chars / count)
     out[rows, 11] = np.log1p(count)
-    bucket = ((h >> U64(32)) * U64(_HASHED) >> U64(32)).astype(np.int64)
-    out[:, 12:] = np.bincount(of * _HASHED + bucket, minlength=len(out) * _HASHED).reshape(len(out), _HASHED)
-    out[rows, 12:] /= count[:, None]
-    return out, bounds
+    bucket = ((h >> U64(32)) * U64(BUCKETS) >> U64(32)).astype(np.uint16)
+    return Passages(out, bucket, np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(out)))]), bounds)
+
+
+def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of x between neighbouring entries of at, zero where they are equal."""
+    out, full = np.zeros((len(at) - 1, *x.shape[1:]), x.dtype), at[1:] > at[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(x, at[:-1][full])
+    return out
 
 
 @dataclass
 class Model:
-    """Gated-attention multiple-instance network. prior is the score when nothing could be learnt."""
+    """Gated-attention multiple-instance network. prior is the score when nothing could be learnt; attend: else passages weigh alike."""
 
     weights: dict[str, np.ndarray] | None
     centre: np.ndarray
     scale: np.ndarray
     prior: float
+    attend: bool = True
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         """Standardised and clipped, so that a passage unlike any in training stays in the range that was learnt."""
         return np.clip((x - self.centre) / self.scale, -3, 3)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    def encode(self, shape: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, ...]:
+        """From scaled shapes and mean word embeddings: representations, the two halves of the gate, and attention before softmax."""
         w = self.weights
-        z = np.tanh(self.scaled(x) @ w["W"] + w["b"])
+        z = np.tanh(shape @ w["W"] + mean + w["b"])
         a, g = np.tanh(z @ w["V"]), 1 / (1 + np.exp(-(z @ w["U"])))
-        return z, a, g, (a * g) @ w["w"]
+        return z, a, g, (a * g) @ w["w"] * self.attend
 
-    def scores(self, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        if self.weights is None:
-            return np.full(len(bounds) - 1, self.prior)
-        if len(bounds) == 1:
-            return np.empty(0)
-        z, _, _, e = self.encode(x)
+    def pooled(self, z: np.ndarray, e: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Attention shares of passages, weighted representations of documents, and their log-odds."""
         start, n = bounds[:-1], np.diff(bounds)
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, start), n))
         share = e / np.repeat(np.add.reduceat(e, start), n)
-        return 1 / (1 + np.exp(-(np.add.reduceat(z * share[:, None], start) @ self.weights["c"] + self.weights["d"])))
-
+        r = np.add.reduceat(z * share[:, None], start)
+        return share, r, r @ self.weights["c"] + self.weights["d"]
 
-def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 14, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> Model:
+    def scores(self, p: Passages) -> np.ndarray:
+        if self.weights is None:
+            return np.full(len(p.bounds) - 1, self.prior)
+        if len(p.bounds) == 1:
+            return np.empty(0)
+        mean = _sums(self.weights["E"].astype(np.float32)[p.bucket], p.at) / np.maximum(1, np.diff(p.at))[:, None]
+        z, _, _, e = self.encode(self.scaled(p.shape), mean)
+        return 1 / (1 + np.exp(-self.pooled(z, e, p.bounds)[2]))
+
+    def loss(self, p: Passages, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy of document labels, and its gradient."""
+        w, shape, n = self.weights, self.scaled(p.shape.astype(np.float64)), np.diff(p.bounds)
+        of = np.repeat(np.arange(len(n)), n)
+        width = np.diff(p.at)
+        bag = np.bincount(np.repeat(np.arange(len(width)), width) * BUCKETS + p.bucket, minlength=len(width) * BUCKETS).reshape(-1, BUCKETS) / np.maximum(1, width)[:, None]
+        z, a, g, e = self.encode(shape, bag @ w["E"])
+        share, r, logit = self.pooled(z, e, p.bounds)
+        d_logit = (1 / (1 + np.exp(-logit)) - y) / len(n)
+        d_r = np.outer(d_logit, w["c"])[of]
+        d_share = (d_r * z).sum(1)
+        d_e = share * (d_share - np.add.reduceat(share * d_share, p.bounds[:-1])[of]) * self.attend
+        d_gate = np.outer(d_e, w["w"])
+        d_a, d_g = d_gate * g * (1 - a * a), d_gate * a * g * (1 - g)
+        d_z = (d_r * share[:, None] + d_a @ w["V"].T + d_g @ w["U"].T) * (1 - z * z)
+        grad = {"E": bag.T @ d_z, "W": shape.T @ d_z, "b": d_z.sum(0), "V": z.T @ d_a, "U": z.T @ d_g, "w": (a * g).T @ d_e, "c": r.T @ d_logit, "d": d_logit.sum()}
+        return float((np.logaddexp(0, logit) - y * logit).mean()), grad
+
+
+def train(bags: list[Passages], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 14, batch: int = 64, rate: float = 4e-3, seed: int = 7, attend: bool = True) -> Model:
     """Adam on the cross-entropy of document labels. The same bags in the same order give the same model."""
     if not bags or labels.min() == labels.max():
-        return Model(None, np.zeros(FEATURES), np.ones(FEATURES), float(labels.mean()) if len(labels) else 0.5)
-    flat = np.concatenate(bags).astype(np.float64)
-    centre, scale = flat.mean(0), flat.std(0) + 1e-3
+        return Model(None, np.zeros(SHAPE), np.ones(SHAPE), float(labels.mean()) if len(labels) else 0.5)
+    flat = np.concatenate([b.shape for b in bags]).astype(np.float64)
     rng = np.random.default_rng(seed)
     draw = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-    p = {"W": draw(FEATURES, hidden), "b": np.zeros(hidden), "V": draw(hidden, gate), "U": draw(hidden, gate), "w": draw(gate), "c": draw(hidden), "d": np.zeros(())}
+    p = {"E": rng.normal(0, 0.1, (BUCKETS, hidden)), "W": draw(SHAPE, hidden), "b": np.zeros(hidden), "V": draw(hidden, gate), "U": draw(hidden, gate), "w": draw(gate), "c": draw(hidden), "d": np.zeros(())}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    model = Model(p, centre, scale, float(labels.mean()))
+    model = Model(p, flat.mean(0), flat.std(0) + 1e-3, float(labels.mean()), attend)
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for chosen in (order[i : i + batch] for i in range(0, len(order), batch)):
-            x = np.concatenate([bags[i] for i in chosen]).astype(np.float64)
-            n = np.array([len(bags[i]) for i in chosen])
-            start, of, y = np.concatenate([[0], np.cumsum(n)[:-1]]), np.repeat(np.arange(len(n)), n), labels[chosen]
-            z, a, g, e = model.encode(x)
-            e = np.exp(e - np.maximum.reduceat(e, start)[of])
-            share = e / np.add.reduceat(e, start)[of]
-            r = np.add.reduceat(z * share[:, None], start)
-            d_logit = (1 / (1 + np.exp(-(r @ p["c"] + p["d"]))) - y) / len(n)
-            d_r = np.outer(d_logit, p["c"])[of]
-            d_share = (d_r * z).sum(1)
-            d_e = share * (d_share - np.add.reduceat(share * d_share, start)[of])
-            d_gate = np.outer(d_e, p["w"])
-            d_a, d_g = d_gate * g * (1 - a * a), d_gate * a * g * (1 - g)
-            d_z = (d_r * share[:, None] + d_a @ p["V"].T + d_g @ p["U"].T) * (1 - z * z)
-            grad = {"W": model.scaled(x).T @ d_z, "b": d_z.sum(0), "V": z.T @ d_a, "U": z.T @ d_g, "w": (a * g).T @ d_e, "c": r.T @ d_logit, "d": d_logit.sum()}
+            _, grad = model.loss(Passages.joined([bags[i] for i in chosen]), labels[chosen])
             step += 1
             for k, q in grad.items():
                 q = q + 1e-4 * p[k]
@@ -131,30 +170,45 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: in
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 4000, bag: int = 48) -> Model:
-    """Learns from at most `most` labelled documents, those of smallest hashed key, and at most `bag` evenly spread passages of
-    each: the only bounded sample, and what is sent to the driver. Rows whose crc32(key as text) mod 5 is 0 are held out."""
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 4000, most_passages: int = 200_000) -> Model:
+    """Learns from a bounded sample of labelled documents: of the `most` labelled keys with the smallest hashes those, in that order,
+    whose passages together are at most `most_passages`. Each is used whole. That sample is all that the driver is sent.
+
+    Rows whose crc32(key as text) mod 5 is 0 are held out. Rows that repeat a key count once, by the smallest of their encodings.
+    """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col(key).cast("string")) % 5 != 0))
     one = usable.groupBy(F.col(key).alias("mark")).agg(F.max(label).alias("y"))
     sample = one.orderBy(F.xxhash64("mark"), "mark").limit(most)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("key") == F.col("mark")).select("key", "text", F.col("y").cast("double").alias("y"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(sample), F.col("key") == F.col("mark")).select("key", "text", F.col("y").cast("double").alias("y"))
 
     def encode(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                x, at = passages(Words.of(part["text"]))
-                raw = [x[np.unique(np.linspace(i, j - 1, min(j - i, bag)).astype(np.int64))].tobytes() for i, j in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part["key"], part["y"], pa.array(raw, pa.binary())], ["key", "y", "x"])
+                found = passages(Words.of(part["text"]))
+                own = [found.text(k) for k in range(len(part))]
+                cols = [pa.array([len(p.shape) for p in own], pa.int64()), pa.array([p.shape.tobytes() + p.bucket.tobytes() for p in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part["key"], part["y"], *cols], ["key", "y", "n", "x"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    got = sorted(((r.key, r.x, r.y) for r in rows.mapInArrow(encode, f"key {kind}, y double, x binary").limit(2 * most).collect()))
-    return train([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for _, x, _ in got], np.array([y for *_, y in got]))
+    once = rows.mapInArrow(encode, f"key {kind}, y double, n bigint, x binary").groupBy("key", "y").agg(F.min(F.struct("n", "x")).alias("e")).select("key", "y", "e.*")
+    once = tables.written(once, "sample")
+    upto = once.select("key", F.sum("n").over(Window.orderBy(F.xxhash64("key"), "key")).alias("upto")).where(F.col("upto") <= most_passages)  # `most` rows at most
+    got = sorted((r.key, r.n, bytes(r.x), r.y) for r in once.join(upto, "key", "left_semi").collect())
+    tables.dropped(once)
+    return train([_unpacked(n, x) for _, n, x, _ in got], np.array([y for *_, y in got]))
+
+
+def _unpacked(n: int, raw: bytes) -> Passages:
+    size = 4 * SHAPE * n
+    bucket = np.frombuffer(raw[size:], np.uint16)
+    return Passages(np.frombuffer(raw[:size], np.float32).reshape(n, SHAPE), bucket, np.minimum(np.arange(n + 1) * PASSAGE, len(bucket)), np.array([0, n]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, carry: bool = False) -> DataFrame:
     """One row for each document: key, held_out, score (0 to 1, higher: label 1 likelier), predicted (score >= threshold).
 
-    Every whole text is scored, from its words alone. A null or empty text is one passage of zeros. A null key is never labelled,
+    Every whole text is scored, from its words alone, however long. A null or empty text is one passage of zeros. A score equal to
+    the threshold is accepted. A null key is never labelled,
     is not held out, and is scored. With no label, or one kind only, the score is 0.5, or that label's share. A key labelled twice
     counts once, with its higher label; repeated documents each give a row. Other columns are never read; with carry they pass
     through and the result has all columns of docs and one struct more, "_verdict", with the four above.
@@ -164,7 +218,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     def score(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                s = np.round(model.value.scores(*passages(Words.of(part["text"]))), 6)
+                s = np.round(model.value.scores(passages(Words.of(part["text"]))), 6)
                 more = [part[c] for c in part.schema.names]
                 yield pa.RecordBatch.from_arrays([*more, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
