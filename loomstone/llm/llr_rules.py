@@ -49,38 +49,88 @@ def base_counts(words: Words) -> dict[str, np.ndarray]:
 
 
 def _count(batches):
-    """Counts of one task: a block of buckets a row, raw and target."""
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Counts of one task: a block of buckets a row."""
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for part in slices(batch, "text"):
-            words = Words.of(part["text"])
-            one, two, starts = grams(words)
-            trusted = np.repeat(np.asarray(part["trusted"].to_pylist(), bool), words.counts)
-            for buckets, mask in ((one, slice(None)), (two, starts)):
-                raw += np.bincount(buckets[mask], minlength=BUCKETS)
-                target += np.bincount(buckets[mask & trusted if isinstance(mask, np.ndarray) else trusted], minlength=BUCKETS)
-    blocks = range(0, BUCKETS, _STEP)
-    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *(pa.array([x[b : b + _STEP].tobytes() for b in blocks], pa.binary()) for x in (raw, target))], ["block", "raw", "target"])
+            one, two, starts = grams(Words.of(part["text"]))
+            total += np.bincount(one, minlength=BUCKETS)
+            total += np.bincount(two[starts], minlength=BUCKETS)
+    yield _blocks(total, _STEP)
 
 
-def _add(table: pa.Table) -> pa.Table:
-    sums = [np.sum([np.frombuffer(x, np.int64) for x in table[name].to_pylist()], axis=0).tobytes() for name in ("raw", "target")]
-    return pa.table({"block": table["block"].slice(0, 1), "raw": pa.array(sums[:1], pa.binary()), "target": pa.array(sums[1:], pa.binary())})
+def _blocks(total: np.ndarray, step: int) -> pa.RecordBatch:
+    at = [b for b in range(0, len(total), step) if total[b : b + step].any()]
+    return pa.RecordBatch.from_arrays([pa.array([b // step for b in at], pa.int32()), pa.array([total[b : b + step].tobytes() for b in at], pa.binary())], ["block", "sums"])
+
+
+def _merged(kind, how):
+    def run(table: pa.Table) -> pa.Table:
+        out = how.reduce([np.frombuffer(x, kind) for x in table["sums"].to_pylist()], axis=0)
+        return pa.table({"block": table["block"].slice(0, 1), "sums": pa.array([out.tobytes()], pa.binary())})
+
+    return run
+
+
+def _gathered(blocks: DataFrame, size: int, kind, how, step: int) -> np.ndarray:
+    """Blocks of all tasks merged before they reach the driver: an array of that fixed size, whatever the input."""
+    out = np.zeros(size, kind)
+    for block, sums in blocks.groupBy("block").applyInArrow(_merged(kind, how), "block int, sums binary").collect():
+        out[block * step : (block + 1) * step] = np.frombuffer(sums, kind)
+    return out
+
+
+#: Bytes of the filter of trusted keys. It only spares the join texts that no trusted key can have: with far more keys than bits it
+#: spares none, and the result is the same.
+FILTER = 1 << 22
+
+
+def _filter(size: int):
+    def run(batches):
+        on = np.zeros(size * 8, bool)
+        for batch in batches:
+            on[batch["bit"].to_numpy()] = True
+        yield _blocks(np.packbits(on), _STEP)
+
+    return run
+
+
+def _passing(known):
+    def run(batches):
+        for batch in batches:
+            bit = batch["bit"].to_numpy()
+            yield batch.filter(pa.array((known.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return run
 
 
 def weights(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
-    """log(p_target / p_raw) of each bucket, from counts over every document. Each task sums its own rows before the shuffle."""
-    # a merge join at every size: the trusted keys follow the corpus, so they are never broadcast
-    marks = trusted.where(F.col(key).isNotNull()).select(F.col(key).alias("mark")).distinct().hint("merge")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(marks, F.col("key") == F.col("mark"), "left")
-    sums = rows.select("text", F.col("mark").isNotNull().alias("trusted")).mapInArrow(_count, "block int, raw binary, target binary").groupBy("block").applyInArrow(_add, "block int, raw binary, target binary").collect()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for block, r, t in sums:
-        raw[block : block + _STEP], target[block : block + _STEP] = np.frombuffer(r, np.int64), np.frombuffer(t, np.int64)
+    """log(p_target / p_raw) of each bucket, from counts over every document. Each task sums its own rows before the shuffle.
+
+    Raw counts need no join. Trusted keys follow the corpus, so they are never broadcast: texts whose key passes the filter, of
+    fixed size, meet them in a merge join. Null keys never do.
+    """
+    spark, size = docs.sparkSession, FILTER
+    bit = F.pmod(F.xxhash64("key"), F.lit(size * 8)).alias("bit")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    marks = trusted.where(F.col(key).isNotNull()).select(F.col(key).cast(rows.schema["key"].dataType).alias("key")).distinct()
+    known = spark.sparkContext.broadcast(_gathered(marks.select(bit).mapInArrow(_filter(size), "block int, sums binary"), size, np.uint8, np.bitwise_or, _STEP))
+    some = rows.where(F.col("key").isNotNull()).select("key", "text", bit)
+    some = some.mapInArrow(_passing(known), some.schema).select("key", "text").join(marks.withColumnRenamed("key", "mark").hint("merge"), F.col("key") == F.col("mark"), "left_semi")
+    raw, target = (_gathered(x.select("text").mapInArrow(_count, "block int, sums binary"), BUCKETS, np.int64, np.add, _STEP) for x in (rows, some))
     smooth = lambda c: np.log((c + 1.0) / (c.sum() + BUCKETS))
     return smooth(target) - smooth(raw) if target.sum() else np.zeros(BUCKETS)
 
 
+def mean_ratio(ratio: np.ndarray, words: Words) -> np.ndarray:
+    """Mean log-likelihood ratio of each text's unigrams and bigrams, 0 without words. A text's sum depends on its own words only."""
+    one, two, starts = grams(words)
+    out, full = np.zeros(len(words.counts)), words.counts > 0
+    if full.any():
+        out[full] = np.add.reduceat(ratio[one] + np.where(starts, ratio[two], 0.0), words.bounds[:-1][full])
+    return np.round(out / np.maximum(1, 2 * words.counts - 1), 6)
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
@@ -88,7 +138,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1,
     documents whose keys `trusted` lists, and the raw corpus, both counted over every document. kept is llr >= threshold, unless
     a base rule fails: fewer than 50 words, or over half of the words in three-word windows found twice or more in the text.
 
-    A null text has no words. Without words llr is 0. With no trusted document every ratio is 0, so only the base rules decide.
+    A null text has no words; very long ones are counted whole. Without words llr is 0. Ties: an llr equal to the threshold is kept. With no trusted document every ratio is 0, so only the base rules decide.
     Null keys are never trusted, but are scored. Repeated rows each give a row; repeated trusted keys count once. Other columns
     are never read.
     """
@@ -100,16 +150,12 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1,
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words.of(part["text"])
-                one, two, starts = grams(words)
-                each = ratio[one] + np.where(starts, ratio[two], 0.0)
-                total = np.concatenate([[0.0], np.cumsum(each)])
-                size = words.counts + np.maximum(words.counts - 1, 0)
-                llr = np.round((total[words.bounds[1:]] - total[words.bounds[:-1]]) / np.maximum(size, 1), 6)
+                llr = mean_ratio(ratio, words)
                 base = base_counts(words)
                 failed = (words.counts < 50) | (100 * base["n_repeat_words"] > 50 * words.counts)
                 yield pa.RecordBatch.from_arrays([part["key"], *(pa.array(x) for x in (words.counts, *base.values(), failed, llr, ~failed & (llr >= threshold)))], ["key", "n_words", *base, "base_failed", "llr", "kept"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, llr double, kept boolean"
     return rows.mapInArrow(score, schema).withColumnRenamed("key", key)
