@@ -16,14 +16,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+#: Attributes: names, with values quoted or not; a quote that never closes, or one inside an unquoted value, is a plain character.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
-_RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "xmp", "svg", "math", "object"}
+#: Elements that hold no text of the page: CODE up to the end of a cut-off page, others only if they are closed.
+_CODE = {"script", "style", "xmp"}
+_RAW = _CODE | {"textarea", "title", "iframe", "noembed", "noframes"}
+_NESTED = {"noscript", "template", "svg", "math", "object"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"ul", "ol", "dl", "table", "select"}
+_P_SCOPES = _SCOPES | {"div", "article", "section", "main", "body"}
+#: Ancestors that features are drawn from: the outermost and the nearest ones.
+OUTER, NEAR = 8, 24
 
 
 @dataclass
@@ -34,10 +42,46 @@ class Block:
     features: list[str] = field(default_factory=list)
 
 
+class _Open:
+    """The open elements. Where each name lies is kept, so closing one never looks through those above it more than once."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.where: dict[str, list[int]] = {}
+
+    def push(self, name: str, words: tuple[str, ...]) -> None:
+        self.where.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, words))
+
+    def last(self, names) -> int:
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
+
+    def close(self, names, scopes=()) -> None:
+        """Closes the nearest of the names and all in it, unless a scope lies in between."""
+        at = self.last(names)
+        if at >= 0 and at >= self.last(scopes):
+            for name, _ in self.stack[at:]:
+                self.where[name].pop()
+            del self.stack[at:]
+
+    def path(self) -> tuple:
+        return tuple(self.stack) if len(self.stack) <= OUTER + NEAR else (*self.stack[:OUTER], *self.stack[-NEAR:])
+
+
+def _end(page: str, name: str, at: int, nested: bool) -> int:
+    """Where the element that begins before `at` ends, or -1."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|\Z)[^>]*?(/?)(?:>|\Z)", re.I).finditer(page, at):
+        depth += -1 if m[1] else int(nested and not m[2])
+        if not depth:
+            return m.end()
+    return -1
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: text between block-level tags, references decoded, white space made one space. Never fails."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened, lost = _Open(), set()
     texts: list[str] = []
     linked = 0
     path: tuple = ()
@@ -51,14 +95,6 @@ def blocks(page: str) -> list[Block]:
             texts.clear()
         linked = 0
 
-    def pop(names: set, stop: set) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
-
     at, size, skip_to = 0, len(page), 0
     for m in _TAG.finditer(page):
         if m.start() < skip_to:
@@ -66,9 +102,9 @@ def blocks(page: str) -> list[Block]:
         if m.start() > at:
             piece = page[at : m.start()]
             if not texts:
-                path = tuple(stack)
+                path = opened.path()
             texts.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if opened.where.get("a"):
                 linked += len(piece)
         at = m.end()
         closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -78,26 +114,29 @@ def blocks(page: str) -> list[Block]:
         if name == "br":
             texts.append(" ")
             if len(texts) == 1:
-                path = tuple(stack)
+                path = opened.path()
             continue
         if name not in _INLINE:
             flush()
         if closing:
-            pop({name}, set())
-        elif name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = skip_to = end.end() if end else size
+            opened.close((name,))
+        elif name in _RAW or name in _NESTED:
+            if not rest.endswith("/") and name not in lost:
+                end = _end(page, name, at, name in _NESTED)
+                if end >= 0 or name in _CODE:
+                    at = skip_to = end if end >= 0 else size
+                else:
+                    lost.add(name)  # never closed from here on
         elif name not in _VOID:
             if name not in _INLINE:
-                pop({"p"}, _SCOPES | {"div", "article", "section", "main", "body"})
+                opened.close(("p",), _P_SCOPES)
                 if name in _CLOSES:
-                    pop(_CLOSES[name], _SCOPES)
+                    opened.close(_CLOSES[name], _SCOPES)
             if not rest.endswith("/"):
-                words = tuple(w for g in _NAMES.findall(rest) for w in _WORD.findall("".join(g).lower()))
-                stack.append((name, words))
+                opened.push(name, tuple(w for g in _NAMES.findall(rest) for w in _WORD.findall("".join(g).lower())[:16]))
     if at < size:
         if not texts:
-            path = tuple(stack)
+            path = opened.path()
         texts.append(page[at:])
     flush()
     return out
@@ -195,9 +234,10 @@ def train(pages: list[tuple[str, list[int]]], steps: int = 120, rate: float = 0.
     return Crf({k: float(w[i]) for k, i in names.items()}, pairs)
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 400, seed: int = 11, names: slice = slice(None)) -> list[tuple[str, list[int]]]:
     """Pages of many designs with a label for each block: the article against menus, headers, footers, sidebars, notices, adverts,
-    forms and reader comments, with landmark tags, named divisions or bare ones, in any order a real page might have."""
+    forms and reader comments, with landmark tags, named divisions or bare ones, in any order a real page might have. `names` picks
+    which of the names of each kind of element are used, so that others can be held out."""
     rng = np.random.default_rng(seed)
     pick = lambda *xs: xs[rng.integers(len(xs))]
     word = lambda: "".join(pick("a", "e", "i", "o", "u", "é", "ü") + pick("n", "r", "th", "st", "l", "d", "ment") for _ in range(rng.integers(1, 4)))
@@ -217,7 +257,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
 
         def named(kinds: tuple, tag: str | None = None) -> tuple[str, str]:
             """An element that says what it is by its tag, by a class or id, or both."""
-            name = pick(*kinds)
+            name = pick(*kinds[names])
             style = pick(f'class="{name}"', f'id="{name}"', f'class="{pick("site", "page", "block", "widget", "top")}-{name}"', f'class="{name} {pick("wide", "clearfix", "col", "box")}"')
             if tag and rare(0.6):
                 return (f"<{tag}>" if rare(0.6) else f"<{tag} {style}>"), f"</{tag}>"
@@ -316,8 +356,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url"), n_pages: int = 400, seed: int = 11) -> DataFrame:
     """One row for each page: the kept columns, text (the main blocks in page order, joined by \\n), n_chars (code points), n_blocks.
 
-    Whole pages are read, cut-off or malformed ones too. A null or empty page gives an empty text. Repeated rows each give a row;
-    an empty table gives none. Other columns are never read. Pages are independent, so there is no shuffle and no hot key. The
+    Whole pages are read, of any length and depth, in linear time; cut-off or malformed ones too. A null or empty page gives an empty
+    text. Ties between labels go to the boilerplate side. Repeated rows each give a row; an empty table gives none. Null ids are
+    kept. Other columns are never read. Pages are independent, so there is no shuffle and no hot key. The
     model is trained on `n_pages` labelled pages of fixed seed: a bound that does not depend on the input.
     """
     model = pages.sparkSession.sparkContext.broadcast(train(labelled_pages(n_pages, seed)))
