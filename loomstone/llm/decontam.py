@@ -105,16 +105,16 @@ def _without(text: pa.Scalar, spans: list[dict]) -> str:
     return (out + raw[at:]).decode()
 
 
-def _pieces(n: int):
-    """Items of over PIECE words cut into pieces that overlap by n - 1 words: they hold the same windows."""
+def _pieces(n: int, most: int):
+    """Items of over `most` words cut into pieces that overlap by n - 1 words: they hold the same windows."""
 
     def run(batches):
         for batch in batches:
             names, texts = [], []
             for name, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = Words.of(pa.array([text or ""], pa.large_string()), ALNUM)
-                for i in range(0, max(1, len(words) - n + 1), PIECE):
-                    last = min(len(words), i + PIECE + n - 1) - 1
+                for i in range(0, max(1, len(words) - n + 1), most):
+                    last = min(len(words), i + most + n - 1) - 1
                     names.append(name)
                     texts.append(words.data[words.starts[i] : words.ends[last]].tobytes().decode() if len(words) else "")
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["item", "text"])
@@ -125,7 +125,7 @@ def _pieces(n: int):
 def _parts(benchmark: DataFrame, n: int, item: str, text: str) -> list[DataFrame]:
     """The benchmark as pieces (item, text), in parts that fit a broadcast."""
     rows = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text}`").alias("text"))
-    rows = rows.mapInArrow(_pieces(n), "item string, text string")
+    rows = rows.mapInArrow(_pieces(n, PIECE), "item string, text string")
     k = max(1, -(-tables.text_bytes(rows) // PART_BYTES))
     if k == 1:
         return [rows]

@@ -268,23 +268,26 @@ def _forest(u: list[int], v: list[int]) -> tuple[list[int], list[int]]:
     return nodes, [find(x) for x in nodes]
 
 
-def _contract(batches):
-    """Links of one partition, AT_ONCE at a time, as a forest of stars: as many links or fewer, the same components."""
-    u: list[int] = []
-    v: list[int] = []
+def _contract(most: int):
+    """Links of one partition, about `most` at a time, as a forest of stars: as many links or fewer, the same components."""
+
+    def run(batches):
+        u: list[int] = []
+        v: list[int] = []
+        for batch in batches:
+            u += batch["u"].to_pylist()
+            v += batch["v"].to_pylist()
+            if len(u) >= most:
+                yield _stars_of(u, v)
+                u, v = [], []
+        yield _stars_of(u, v)
 
-    def out():
-        nodes, roots = _forest(u, v)
-        u.clear()
-        v.clear()
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["u", "v"])
+    return run
 
-    for batch in batches:
-        u += batch["u"].to_pylist()
-        v += batch["v"].to_pylist()
-        if len(u) >= AT_ONCE:
-            yield out()
-    yield out()
+
+def _stars_of(u: list[int], v: list[int]) -> pa.RecordBatch:
+    nodes, roots = _forest(u, v)
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["u", "v"])
 
 
 def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
@@ -294,7 +297,7 @@ def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
     steps run at every size; only the number of rounds follows the links. Each round is written and the one before deleted.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    edges = tables.written(edges.mapInArrow(_contract, "u bigint, v bigint"), "stars")
+    edges = tables.written(edges.mapInArrow(_contract(AT_ONCE), "u bigint, v bigint"), "stars")
     while not _stars_only(edges):
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(F.col("u").alias("c"), "m")
@@ -302,7 +305,7 @@ def components(links: DataFrame, a: str = "hub", b: str = "node") -> DataFrame:
         large = large.where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small = large.join(low, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        new = tables.written(small.where("u > v").distinct().mapInArrow(_contract, "u bigint, v bigint"), "stars")
+        new = tables.written(small.where("u > v").distinct().mapInArrow(_contract(AT_ONCE), "u bigint, v bigint"), "stars")
         tables.dropped(edges)
         edges = new
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
