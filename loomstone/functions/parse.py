@@ -14,28 +14,27 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, St
 
 
 def _objects(text: str):
-    """Balanced {...} spans from left to right; quoting is not looked at, so a brace in a string counts."""
-    depth, start = 0, -1
+    """From each { on, left to right, the text up to the } that balances it, if there is one; quoting is not looked at."""
+    opened, closes = [], {}
     for m in re.finditer(r"[{}]", text):
         if m[0] == "{":
-            if depth == 0:
-                start = m.start()
-            depth += 1
-        elif depth:
-            depth -= 1
-            if depth == 0:
-                yield text[start : m.end()]
+            opened.append(m.start())
+        elif opened:
+            closes[opened.pop()] = m.end()
+    for start in sorted(closes):
+        yield text[start : closes[start]]
 
 
 @F.pandas_udf(StructType([StructField("checks", ArrayType(StringType())), StructField("valid", BooleanType())]))
 def checks_anywhere(text: pd.Series) -> pd.DataFrame:
-    """The string items of "checks" in the first JSON object of a text that has such a list; else invalid and empty."""
+    """The string items of "checks" in the first JSON object of a text that has such a list; else invalid and empty. An object may
+    lie inside another one, or after a brace that never closes."""
 
     def one(x: str | None) -> tuple[list[str], bool]:
         for span in _objects(x or ""):
             try:
                 value = json.loads(span)
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
             if isinstance(value, dict) and isinstance(value.get("checks"), list):
                 return sorted({c for c in value["checks"] if isinstance(c, str)}), True
@@ -71,15 +70,33 @@ def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(["\n".join(difflib.unified_diff((a or "").splitlines(), (b or "").splitlines(), "before", "after", lineterm="")) for a, b in zip(before, after, strict=True)])
 
 
-@F.pandas_udf(DoubleType())
-def quick_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the common characters, counted as a multiset, over all characters; 1 for two empty texts."""
-
-    def one(x: str, y: str) -> float:
-        total = len(x) + len(y)
-        return 2.0 * sum((Counter(x) & Counter(y)).values()) / total if total else 1.0
-
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
+#: Names of checks, as a whole (fixed value).
+CHECK_NAME = r"^[a-z][a-z0-9]*(-[A-Za-z0-9.+]+)+$"
+
+
+def parsed_label(answer: Column, categories: list[str], clean: str = "No smells detected") -> Column:
+    """(smells, severity, checks, reject) of an answer with exactly the keys smells, severity and explanation.
+
+    smells are the known categories that the answer names, in the order of the vocabulary; checks are sorted. reject says why there is no
+    label: no JSON, other keys, a category outside the vocabulary, a clean label that is not clean throughout, or no proper checks.
+    """
+    keys = F.json_object_keys(F.when(F.try_parse_json(answer).isNotNull(), answer))
+    vocabulary = F.array(*map(F.lit, categories))
+    named = F.from_json(F.get_json_object(answer, "$.smells"), "array<string>")
+    atoms = F.array_distinct(F.flatten(F.transform(named, lambda s: F.transform(F.split(s, ",", -1), lambda x: F.btrim(x)))))
+    smells = F.filter(vocabulary, lambda c: F.array_contains(atoms, c))
+    severity, explanation = F.get_json_object(answer, "$.severity").cast("double"), F.get_json_object(answer, "$.explanation")
+    checks = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(explanation, ",", -1), lambda x: F.btrim(x)), lambda x: x != "")))
+    reject = (
+        F.when(answer.isNull() | F.try_parse_json(answer).isNull(), "label is not JSON")
+        .when(keys.isNull() | (F.array_sort(keys) != F.array(*map(F.lit, ("explanation", "severity", "smells")))), "unexpected label keys")
+        .when(F.size(F.array_except(atoms, vocabulary)) > 0, "category outside the vocabulary")
+        .when((F.size(smells) == 0) & ((severity != 0) | (explanation != clean)), "clean label with severity or checks set")
+        .when((F.size(smells) > 0) & ((F.size(checks) == 0) | F.exists(checks, lambda c: ~c.rlike(CHECK_NAME))), "smelly label without valid check names")
+    )
+    kept = lambda c: F.when(reject.isNull(), c)
+    none = F.array().cast("array<string>")
+    return F.struct(kept(smells).alias("smells"), kept(severity.cast("int")).alias("severity"), kept(F.when(F.size(smells) == 0, none).otherwise(checks)).alias("checks"), reject.alias("reject"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:

@@ -101,10 +101,31 @@ def occurrences(c: Column, marker: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(marker), F.lit("")))) / len(marker)).cast("bigint")
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+
+
+#: A fenced block of C or C++, or of no named language; fences stand at line starts (fixed values).
+FENCE = r"(?smid)^```(?:cpp|c\+\+|c)?[ \t]*\r?\n(.*?)^```[ \t]*$"
+
+
 def fenced(c: Column) -> Column:
-    """The one fenced block of a text that has exactly one, else the text itself, trimmed."""
-    blocks = F.regexp_extract_all(c, F.lit(r"(?s)```[A-Za-z+]*[ \t]*\r?\n(.*?)```"), 1)
-    return F.btrim(F.when((F.size(blocks) == 1) & (occurrences(c, "```") == 2), F.get(blocks, 0)).otherwise(c))
+    """The one fenced block of a text that has exactly one and no other fence, else the text itself, stripped."""
+    text = stripped(c)
+    blocks = F.regexp_extract_all(text, F.lit(FENCE), 1)
+    return F.when((F.size(blocks) == 1) & (F.regexp_count(text, F.lit(r"(?md)^```")) == 2), stripped(F.get(blocks, 0))).otherwise(text)
+
+
+def quick_ratio(a: Column, b: Column, most: int = 3000) -> Column:
+    """Twice the common characters of two prefixes, counted as a multiset, over all their characters; 1 for two empty texts.
+
+    The prefixes are part of the measure, which compares whole programs by their first `most` characters.
+    """
+    a, b = F.coalesce(F.left(a, F.lit(most)), F.lit("")), F.coalesce(F.left(b, F.lit(most)), F.lit(""))
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, x, F.lit("")))
+    own = F.array_distinct(F.filter(F.split(a, ""), lambda x: x != ""))
+    common = F.aggregate(own, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+    return F.when(F.length(a) + F.length(b) == 0, 1.0).otherwise(2.0 * common / (F.length(a) + F.length(b)))
 
 
 def path_key(c: Column) -> Column:

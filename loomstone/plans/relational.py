@@ -161,15 +161,11 @@ def _(spark):
     return policy.cascade(u, ("shout", F.contains("code", F.lit("!!"))), ("too short", F.col("n_tokens") < 400), ("too long", F.col("n_tokens") > 4000), ("language", F.col("lang") != "en")).select("doc_id", "drop_reason")
 
 
-@query("p11_last_head", "SELECT doc_id, CASE WHEN greatest(a, b) = 0 THEN NULL WHEN a >= b THEN ' the ' ELSE ' of ' END AS head FROM (SELECT doc_id, CASE WHEN contains(text, ' the ') THEN length(text) - length(string_split(text, ' the ')[-1]) - 4 ELSE 0 END AS a, CASE WHEN contains(text, ' of ') THEN length(text) - length(string_split(text, ' of ')[-1]) - 3 ELSE 0 END AS b FROM documents WHERE NOT contains(text, ' the the ') AND NOT contains(text, ' of of '))")
-def _(spark):
-    d = spark.table("documents").where(~F.contains("text", F.lit(" the the ")) & ~F.contains("text", F.lit(" of of ")))
-    return d.select("doc_id", T.last_head(F.col("text"), [" the ", " of "]).alias("head"))
+_LAST = lambda h: f"CASE WHEN contains(text, '{h}') THEN length(text) - strpos(reverse(text), reverse('{h}')) - {len(h)} + 2 ELSE 0 END"
 
 
-@query("p11_last_head_whole")
+@query("p11_last_head", f"SELECT doc_id, CASE WHEN greatest(a, b) = 0 THEN NULL WHEN a >= b THEN ' the ' ELSE ' of ' END AS head FROM (SELECT doc_id, {_LAST(' the ')} AS a, {_LAST(' of ')} AS b FROM documents)")
 def _(spark):
-    """Over all documents; heads may overlap, which the SQL of p11_last_head leaves out."""
     return spark.table("documents").select("doc_id", T.last_head(F.col("text"), [" the ", " of "]).alias("head"))
 
 

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_directives_of_whole_texts(spark):
-    got = {r.doc_id: (r.h, r.changed) for r in catalog.QUERIES["sc06_unglue_whole"](spark, SF).collect()}
+    got = {r.doc_id: (r.h, r.changed) for r in catalog.QUERIES["sc06_unglue"](spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     glued, late = re.compile(r'([A-Za-z0-9_">)])(#[ \t]*(?:define|include|ifdef|ifndef|endif|pragma|undef)\b)', re.A), 0
     for r in rows:

@@ -17,7 +17,7 @@ def bare(raw):
 
 
 def test_all_answers(spark):
-    got = {r.doc_id: r.checks for r in catalog.QUERIES["sc11_answer_bare_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.checks for r in catalog.QUERIES["sc11_answer_bare"](spark, SF).collect()}
     assert got == {r.doc_id: bare(r.raw) for r in spark.table("answers").collect()} and None in got.values()
 
 
