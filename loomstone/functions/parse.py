@@ -100,12 +100,16 @@ def parsed_label(answer: Column, categories: list[str], clean: str = "No smells
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, one row of the table as the bits of a number."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
 
 
 @F.pandas_udf(StructType([StructField("rouge_l", DoubleType()), StructField("bleu", DoubleType())]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; a local one only where the setting is absent."""
-    import tempfile
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/loomstone"
+    """A new folder below the cluster's checkpoint folder. A local one serves only where all runs in one process (tests)."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        top = f"file://{tempfile.gettempdir()}/loomstone"
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -20,7 +23,15 @@ def saved(df: DataFrame) -> DataFrame:
     """The table written to the shared folder and read again: lineage ends there."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loomstone_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes what saved() wrote; nothing may read it any more."""
+    jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._loomstone_path)
+    jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def conflicts(rows: DataFrame, key: str, label: str) -> DataFrame:
@@ -48,16 +59,19 @@ def shared_groups(rows: DataFrame, key: str, values: str, dense: bool = True) ->
     low = pairs.groupBy("v").agg(F.min("id").alias("hub")).withColumnRenamed("v", "w")
     links = saved(pairs.join(low, F.col("v") == F.col("w")).where("id > hub").select("id", "hub").distinct())
     both = links.union(links.select("hub", "id"))
-    labels = saved(links.select("id").union(links.select("hub")).distinct().withColumn("root", F.col("id")))
+    labels = before = saved(links.select("id").union(links.select("hub")).distinct().withColumn("root", F.col("id")))
     while True:
         near = both.join(labels.select(F.col("id").alias("hub"), "root"), "hub").groupBy("id").agg(F.min("root").alias("near"))
         step = labels.join(near, "id").select("id", F.least("root", "near").alias("next"), "root")
         far = labels.select(F.col("id").alias("next"), F.col("root").alias("far"))
         new = saved(step.join(far, "next").select("id", F.least("next", "far").alias("root"), (F.least("next", "far") < F.col("root")).alias("moved")))
         done = new.where("moved").isEmpty()
-        labels = new.select("id", "root")
+        dropped(before)
+        before, labels = new, new.select("id", "root")
         if done:
             break
+    dropped(pairs)
+    dropped(links)
     out = rows.select(F.col(key).alias("id")).join(labels, "id", "left").select(F.col("id").alias(key), F.coalesce("root", "id").alias("group"))
     if not dense:
         return out

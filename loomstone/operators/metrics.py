@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomstone.functions.parse import lenient_json, overlap_scores
+from loomstone.functions.text import jaccard, token_set
+
 #: Two-sided 95 % quantile of the normal distribution.
 Z95 = 1.959963984540054
 
@@ -76,3 +81,60 @@ def nearest_rank(rows: DataFrame, value: str, *by: str, points: tuple[float, ...
     """Nearest-rank percentiles with min, max and mean (two decimals)."""
     disc = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)").alias(f"p{round(100 * p)}") for p in points]
     return rows.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.avg(value), 2).alias("mean"), *disc)
+
+
+def early_stopping(history: DataFrame, run: str, epoch: str, loss: str, patience: int) -> DataFrame:
+    """Of each run the epochs up to the stop: best loss so far, whether it improved (strictly), epochs without improvement, and stopped.
+
+    Training stops at the first epoch that is the patience-th one in a row without a better loss, unless it is the last one anyway. Epochs
+    count from 1 without gaps; a run is one window partition, as long as its epochs.
+    """
+    own = Window.partitionBy(run).orderBy(epoch)
+    before = F.min(loss).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    rows = history.withColumn("_before", before).withColumn("improved", F.coalesce(F.col(loss) < F.col("_before"), F.lit(True)))
+    rows = rows.withColumn("stale", F.col(epoch) - F.max(F.when(F.col("improved"), F.col(epoch))).over(own))
+    rows = rows.withColumns({"_stop": F.min(F.when(F.col("stale") >= patience, F.col(epoch))).over(Window.partitionBy(run)), "_last": F.max(epoch).over(Window.partitionBy(run))})
+    stopped = F.coalesce((F.col(epoch) == F.col("_stop")) & (F.col(epoch) < F.col("_last")), F.lit(False))
+    return rows.where(F.col("_stop").isNull() | (F.col(epoch) <= F.col("_stop"))).select(run, epoch, loss, F.least("_before", loss).alias("best"), "improved", "stale", stopped.alias("stopped"))
+
+
+def paired_bootstrap(pairs: DataFrame, difference: str, resamples: int = 10_000, seed: int = 20_261_015) -> DataFrame:
+    """One row: difference (mean), low, high, from resamples of as many pairs as there are, drawn with replacement.
+
+    Differences of outcomes are -1, 0 or 1, so a resample's mean depends only on how often each is drawn: counts that are multinomial
+    with the observed shares. They are drawn as such, each resample by its own seed, and no pair is copied. Ends are the order statistics at
+    int(.025 * resamples) and int(.975 * resamples). Without pairs all three are null.
+    """
+    counts = pairs.agg(F.count("*").alias("n"), *(F.count_if(F.col(difference) == d).alias(name) for d, name in ((-1, "worse"), (1, "better"))))
+    draws = pairs.sparkSession.range(resamples).crossJoin(F.broadcast(counts)).where("n > 0")  # one row of counts
+
+    def draw(batches):
+        for pdf in batches:
+            means = []
+            for b, n, worse, better in pdf.itertuples(index=False):
+                got = np.random.default_rng([seed, int(b)]).multinomial(n, [worse / n, better / n, (n - worse - better) / n])
+                means.append((got[1] - got[0]) / n)
+            yield pd.DataFrame({"mean": means})
+
+    means = draws.mapInPandas(draw, "mean double").agg(F.array_sort(F.collect_list("mean")).alias("m"))  # `resamples` numbers
+    ends = means.select(F.get("m", int(0.025 * resamples)).alias("low"), F.get("m", min(resamples - 1, int(0.975 * resamples))).alias("high"))
+    return counts.select(F.when(F.col("n") > 0, (F.col("better") - F.col("worse")) / F.col("n")).alias("difference")).crossJoin(ends)
+
+
+def legacy_fixing(rows: DataFrame, predicted: str, gold: str) -> DataFrame:
+    """One row from pairs of JSON answers: json_validity, avg_explanation_match, avg_ast_similarity, n_scored, avg_bleu, avg_rouge.
+
+    An answer is read leniently. If either side is invalid all scores of the pair are 0. Where both are valid but a code is empty, the pair
+    has no BLEU and ROUGE and does not count for their means: n_scored is how many do.
+    """
+    p, g = lenient_json(F.col(predicted)), lenient_json(F.col(gold))
+    code = lambda x: F.coalesce(F.get_json_object(x, "$.fixed_code"), F.lit(""))
+    types = lambda x: F.array_distinct(F.transform(F.coalesce(F.from_json(F.get_json_object(x, "$.explanations"), "array<struct<smell_type:string>>"), F.array().cast("array<struct<smell_type:string>>")), lambda e: F.coalesce(e["smell_type"], F.lit(""))))
+    rows = rows.select(p.alias("p"), g.alias("g")).withColumns({"a": code(F.col("p")), "b": code(F.col("g")), "x": types(F.col("p")), "y": types(F.col("g"))})
+    both = F.col("p").isNotNull() & F.col("g").isNotNull()
+    match = F.when(F.size("y") > 0, F.size(F.array_intersect("x", "y")) / F.size("y")).otherwise(F.when(F.size("x") == 0, 1.0).otherwise(0.0))
+    scored = F.when(both & ((F.col("a") == "") | (F.col("b") == "")), False).otherwise(True)
+    rows = rows.select("p", both.alias("both"), scored.alias("scored"), match.alias("match"), jaccard(token_set(F.col("a")), token_set(F.col("b"))).alias("alike"), overlap_scores("b", "a").alias("o"))
+    zero = lambda c: F.avg(F.when(F.col("both"), c).otherwise(0.0))
+    mean = lambda c: F.coalesce(F.avg(F.when(F.col("scored"), F.when(F.col("both"), c).otherwise(0.0))), F.lit(0.0))
+    return rows.agg(F.avg(F.col("p").isNotNull().cast("double")).alias("json_validity"), zero(F.col("match")).alias("avg_explanation_match"), zero(F.col("alike")).alias("avg_ast_similarity"), F.count_if("scored").alias("n_scored"), mean(F.col("o.bleu")).alias("avg_bleu"), mean(F.col("o.rouge_l")).alias("avg_rouge"))

@@ -72,11 +72,11 @@ def systematic(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.join(ranks.join(at, "_at"), order).drop("_at")
 
 
-def group_splits(sizes: DataFrame, group: str, size: str, fractions: dict[str, float], big: int) -> DataFrame:
+def group_splits(sizes: DataFrame, group: str, size: str, fractions: dict[str, float], big: int, bucket: int = 20_000) -> DataFrame:
     """group, split: big groups go to the first split; each other one, in hashed order, to the split that lacks most of its share.
 
-    The order decides, so the groups pass one by one, but only (group, size) rows, and streamed: a counter for each split is all
-    the state there is. Groups are dealt into fixed buckets that each keep the fractions, so no task sees more than its bucket.
+    The order decides, so the groups of a bucket pass one by one, as sorted (group, size) rows of one frame. A bucket holds about `bucket`
+    groups, dealt by hash, and keeps the fractions by itself: the rule is the same at every size, and no task sees more than that.
     """
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +88,7 @@ def group_splits(sizes: DataFrame, group: str, size: str, fractions: dict[str, f
             out.append(names[k])
         return pd.DataFrame({"group": pdf.sort_values(["is_small", "rank"])["group"].to_numpy(), "split": out})
 
-    total = max(1, sizes.count() // 200_000)
+    total = max(1, -(-sizes.count() // bucket))
     rows = sizes.select(F.col(group).alias("group"), F.col(size).cast("bigint").alias("size"), (F.col(size) <= big).alias("is_small"), F.md5(F.col(group).cast("string")).alias("rank"))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(total)))
     return rows.groupBy("bucket").applyInPandas(assign, f"group {sizes.schema[group].dataType.simpleString()}, split string").withColumnRenamed("group", group)

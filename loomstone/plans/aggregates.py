@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
+from loomstone.functions.parse import lenient_json
 from loomstone.operators import dedup, metrics
 from loomstone.plans.catalog import plan, query
 
@@ -124,25 +125,78 @@ _CATEGORY = "CASE WHEN truncated THEN 'truncated generation' END", "CASE WHEN re
 _NONE = "CASE WHEN NOT truncated AND remaining IS NULL AND NOT new_warning AND NOT more_errors AND NOT passed THEN 'not validated' END"
 plan("a27_failure_categories", f"SELECT system, category, count(*) AS n FROM (SELECT system, explode(array_compact(array({', '.join(_CATEGORY)}, {_NONE}))) AS category FROM repairs) GROUP BY system, category", "SELECT system, category, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT system, {c} AS category FROM repairs" for c in (*_CATEGORY, _NONE)) + ") WHERE category IS NOT NULL GROUP BY system, category")
 plan("a28_majority_share", "SELECT engine, lang, n, round(n / cast(total AS double), 9) AS share FROM (SELECT engine, lang, n, sum(n) OVER (PARTITION BY engine) AS total, row_number() OVER (PARTITION BY engine ORDER BY n DESC, lang) AS r FROM (SELECT engine, lang, count(*) AS n FROM units GROUP BY engine, lang)) WHERE r = 1")
-plan("a29_presence_rate", "SELECT low, round(avg(CASE WHEN code LIKE '%!!%' THEN 1.0D ELSE 0.0D END), 9) AS shout, round(avg(CASE WHEN code LIKE '%|%' THEN 1.0D ELSE 0.0D END), 9) AS bar FROM units WHERE labelled GROUP BY low", "SELECT low, round(avg(CASE WHEN code LIKE '%!!%' THEN 1.0 ELSE 0.0 END), 9) AS shout, round(avg(CASE WHEN code LIKE '%|%' THEN 1.0 ELSE 0.0 END), 9) AS bar FROM units WHERE labelled GROUP BY low")
+_VISIBLE = (("shout", "!!"), ("bar", r"\|"), ("digits", "[0-9]{3}"), ("quoted", '"[^"]*"'))
+_PATTERNS = " UNION ALL ".join(f"SELECT '{n}' AS name, '{r}' AS pattern" for n, r in _VISIBLE)
+plan("a29_presence_rate", f"SELECT name, low, round(avg(CASE WHEN rlike(code, pattern) THEN 1.0D ELSE 0.0D END), 9) AS rate FROM units CROSS JOIN ({_PATTERNS.replace(chr(92), chr(92) * 2)}) WHERE labelled GROUP BY name, low", " UNION ALL ".join(f"SELECT '{n}' AS name, low, round(avg(CASE WHEN regexp_matches(code, '{r}') THEN 1.0 ELSE 0.0 END), 9) AS rate FROM units WHERE labelled GROUP BY low" for n, r in _VISIBLE))
 
 
-@query("a30_on_line_rate", "SELECT f.\"check\" AS chk, count(*) AS n, count_if(l.line LIKE '%e%') AS hit FROM findings f JOIN lines l ON f.doc_id = l.doc_id AND f.line_no = l.line_no GROUP BY f.\"check\"")
+@query("a30_on_line_rate", "SELECT f.\"check\" AS chk, count(*) AS n, count_if(regexp_matches(l.line, CASE WHEN f.\"check\" = 'style-shout' THEN '!!' ELSE '[Ll]icen[sc]e' END)) AS hit, count_if(contains(l.line, f.message)) AS named FROM findings f JOIN lines l ON f.doc_id = l.doc_id AND f.line_no = l.line_no GROUP BY f.\"check\"")
 def _(spark):
-    own = spark.table("findings").groupBy("doc_id").agg(F.collect_list(F.struct("check", "line_no")).alias("fs"))
+    """How often a check's own pattern, and what its message quotes, stand on the line of the finding; quotes are taken literally."""
+    own = spark.table("findings").groupBy("doc_id").agg(F.collect_list(F.struct("check", "line_no", "message")).alias("fs"))
     rows = own.join(spark.table("documents").select("doc_id", "text"), "doc_id").select(F.inline("fs"), "text")
     line = F.element_at(F.split("text", "\n", -1), F.col("line_no").cast("int"))
-    return rows.select(F.col("check").alias("chk"), line.rlike("e").alias("hit")).groupBy("chk").agg(F.count("*").alias("n"), F.count_if("hit").alias("hit"))
+    pattern = F.when(F.col("check") == "style-shout", "!!").otherwise("[Ll]icen[sc]e")
+    quoted = F.concat(F.lit(r"\Q"), F.replace("message", F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
+    return rows.groupBy(F.col("check").alias("chk")).agg(F.count("*").alias("n"), F.count_if(F.regexp_like(line, pattern)).alias("hit"), F.count_if(F.regexp_like(line, quoted)).alias("named"))
 
 
 plan("a31_bounded_examples", "SELECT chk, doc_id, o FROM (SELECT check AS chk, doc_id, o, row_number() OVER (PARTITION BY check ORDER BY doc_id, o) AS r FROM findings) WHERE r <= 2", "SELECT chk, doc_id, o FROM (SELECT \"check\" AS chk, doc_id, o, row_number() OVER (PARTITION BY \"check\" ORDER BY doc_id, o) AS r FROM findings) WHERE r <= 2")
 plan("a32_truncation_survival", "SELECT lim, sum(greatest(least(lim - (n_tokens - 100), 100), 0)) AS kept FROM units CROSS JOIN (SELECT 500 AS lim UNION ALL SELECT 1000 UNION ALL SELECT 4000) GROUP BY lim", "SELECT lim, sum(greatest(least(lim - (n_tokens - 100), 100), 0))::BIGINT AS kept FROM units CROSS JOIN (SELECT 500 AS lim UNION ALL SELECT 1000 UNION ALL SELECT 4000) GROUP BY lim")
 plan("a33_ratio_of_sums", "SELECT split, round(sum(least(n_tokens, 500)) / cast(sum(n_tokens) AS double), 9) AS share FROM units GROUP BY split", "SELECT split, round(sum(least(n_tokens, 500)) / sum(n_tokens)::DOUBLE, 9) AS share FROM units GROUP BY split")
 plan("a34_key_histogram", "SELECT keys, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, array_join(array_sort(json_object_keys(props)), ',') AS keys FROM events) GROUP BY keys", "SELECT keys, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events) GROUP BY keys")
-plan("a35_label_audit", "SELECT length_class, count(*) AS n, count_if(g_low) AS low, count_if(g_tox) AS tox FROM (SELECT CASE WHEN n_tokens < 500 THEN 'short' WHEN n_tokens < 2000 THEN 'middle' ELSE 'long' END AS length_class, g_low, g_tox FROM flags) GROUP BY length_class")
-plan("a36_target_audit", "SELECT count(*) AS n, count_if(contains(b.text, left(a.text, 40))) AS contained FROM documents a JOIN documents b ON a.doc_id + 1 = b.doc_id")
-plan("a37_fractional_votes", "SELECT target, round(sum(1.0D / k), 6) AS votes FROM (SELECT o_custkey AS target, o_orderdate, count(*) OVER (PARTITION BY o_orderdate) AS k FROM orders) GROUP BY target", "SELECT target, round(sum(1.0::DOUBLE / k), 6) AS votes FROM (SELECT o_custkey AS target, o_orderdate, count(*) OVER (PARTITION BY o_orderdate) AS k FROM orders) GROUP BY target")
+_AUDITED = "SELECT doc_id, checks, concat('{\"smells\": [\"', array_join(checks, ', '), '\"], \"severity\": ', doc_id % 100, ', \"location\": \"', CASE WHEN doc_id % 4 = 0 THEN 'file' WHEN doc_id % 4 = 1 THEN 'line' ELSE 'function' END, '\", \"explanation\": \"x-a, x-b, x-', doc_id % 3, '\"}') AS answer FROM units"
+_SEVERITY = "(doc_id % 100) // 20"
+
+
+@query("a35_label_audit", f"""SELECT 'smelly' AS part, CASE WHEN doc_id % 3 = 0 THEN 'gap' ELSE 'full' END AS value, count(*) AS n FROM units WHERE len(checks) > 0 GROUP BY ALL
+UNION ALL SELECT 'severity', ({_SEVERITY})::VARCHAR, count(*) FROM units GROUP BY ALL
+UNION ALL SELECT 'location', CASE WHEN doc_id % 4 = 0 THEN 'file' WHEN doc_id % 4 = 1 THEN 'line' ELSE 'function' END, count(*) FROM units GROUP BY ALL
+UNION ALL SELECT 'atom', a, count(*) FROM (SELECT unnest(checks) AS a FROM units) GROUP BY a
+UNION ALL SELECT 'check', c, count(*) FROM (SELECT unnest(list_concat(['x-a', 'x-b'], ['x-' || doc_id % 3])) AS c FROM units) GROUP BY c""")
+def _(spark):
+    """Histograms of what labelled answers say: smelly full or gap rows, severity by twenties, location, checks, single categories."""
+    field = lambda k: F.get_json_object("answer", f"$.{k}")
+    parts = lambda c: F.filter(F.transform(F.split(c, ",", -1), lambda x: F.btrim(x)), lambda x: x != "")
+    smells = F.flatten(F.transform(F.from_json(field("smells"), "array<string>"), parts))
+    one = lambda part, v: F.struct(F.lit(part).alias("part"), v.alias("value"))
+    smelly = F.when(F.size(smells) > 0, F.when(F.col("doc_id") % 3 == 0, "gap").otherwise("full"))
+    said = F.concat(F.array(one("smelly", smelly), one("severity", F.floor(field("severity").cast("int") / 20).cast("string")), one("location", field("location"))), F.transform(smells, lambda x: one("atom", x)), F.transform(parts(field("explanation")), lambda x: one("check", x)))
+    return spark.sql(_AUDITED).select(F.inline(said)).where(F.col("value").isNotNull()).groupBy("part", "value").agg(F.count("*").alias("n"))
+
+
+_NORM = lambda c: f"trim(regexp_replace({c}, '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+_RATIO = "2.0::DOUBLE * list_sum(list_transform(list_distinct(string_split(a, '')), lambda x: CASE WHEN x = '' THEN 0 ELSE least(length(a) - length(replace(a, x, '')), length(b) - length(replace(b, x, ''))) END)) / (length(a) + length(b))"
+
+
+@query("a36_target_audit", f"""WITH p AS (SELECT {_NORM('x.text')} AS x, {_NORM('y.text')} AS y, left(x.text, 3000) AS a, left(y.text, 3000) AS b FROM documents x JOIN documents y ON x.doc_id + 1 = y.doc_id),
+k AS (SELECT CASE WHEN x = y THEN 'unchanged' WHEN contains(y, left(x, 400)) THEN 'contains the input' ELSE 'rewritten' END AS kind, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE {_RATIO} END AS r FROM p)
+SELECT kind, count(*) AS n, {", ".join(f"round(quantile_cont(r, {d / 10}), 9) AS d{d}" for d in range(1, 10))} FROM k GROUP BY kind""")
+def _(spark):
+    """Each document with the next one as its target: what kind of target it is, and deciles of their similarity."""
+    d = spark.table("documents")
+    pairs = d.select("doc_id", F.col("text").alias("a")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b")), "doc_id")
+    x, y = T.normalised(F.col("a")), T.normalised(F.col("b"))
+    kind = F.when(x == y, "unchanged").when(F.contains(y, F.left(x, F.lit(400))), "contains the input").otherwise("rewritten")
+    rows = pairs.select(kind.alias("kind"), T.quick_ratio(F.col("a"), F.col("b")).alias("r")).groupBy("kind").agg(F.count("*").alias("n"), F.percentile("r", F.array(*(F.lit(k / 10) for k in range(1, 10)))).alias("d"))
+    return rows.select("kind", "n", *(F.round(F.get("d", k - 1), 9).alias(f"d{k}") for k in range(1, 10)))
+
+
+#: Files, some names in two directories; and what source files include, with repeats.
+_TREE = "SELECT concat('d', n_regionkey, '/', n_name, '.h') AS path FROM nation UNION ALL SELECT concat('e', n_regionkey, '/sub/', n_name, '.h') FROM nation WHERE n_nationkey % 3 = 0"
+_INCLUDES = "SELECT concat('s', s_suppkey) AS file, CASE s_suppkey % 4 WHEN 0 THEN concat(n_name, '.h') WHEN 1 THEN concat('sub/', n_name, '.h') WHEN 2 THEN concat('d', n_regionkey, '/', lower(n_name), '.H') ELSE 'none.h' END AS inc FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT concat('s', s_suppkey), concat(n_name, '.h') FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 8 = 0"
+_VOTES = "WITH t AS ({tree}), i AS (SELECT DISTINCT file, inc FROM ({includes})), c AS (SELECT file, inc, path, count(*) OVER (PARTITION BY file, inc) AS k FROM i JOIN t ON {base}(lower(inc)) = {base}(lower(path)) AND {ends}(concat('/', lower(path)), concat('/', lower(inc)))) SELECT target, round(sum(1.0 / k), 6) AS votes FROM (SELECT {trim} AS target, cast(k AS double) AS k FROM c WHERE contains(inc, '/') OR k = 1) GROUP BY target"
+_STRIPPED = "regexp_replace(left(path, length(path) - length(inc)), '/+$', '')"
+
+
+def _votes(base: str, ends: str) -> str:
+    sql = _VOTES.replace("{tree}", _TREE).replace("{includes}", _INCLUDES).replace("{ends}", ends).replace("{trim}", _STRIPPED)
+    return sql.replace("{base}(lower(inc))", base.format("lower(inc)")).replace("{base}(lower(path))", base.format("lower(path)"))
+
+
+plan("a37_fractional_votes", _votes("substring_index({}, '/', -1)", "endswith"), _votes("string_split({}, '/')[-1]", "ends_with"))
 plan("a38_occurrences", "SELECT message, count(*) AS n FROM findings GROUP BY message HAVING count(*) >= 3")
+plan("a38_per_record", "SELECT word, count(*) AS n FROM (SELECT DISTINCT p_partkey, word FROM (SELECT p_partkey, explode(split(p_name, ' ')) AS word FROM part)) GROUP BY word HAVING count(*) >= greatest(2, 0.15D * (SELECT count(*) FROM part))", "SELECT word, count(*) AS n FROM (SELECT DISTINCT p_partkey, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part)) GROUP BY word HAVING count(*) >= greatest(2, 0.15 * (SELECT count(*) FROM part))")
 plan("a39_yield", "SELECT sum(n) AS n FROM (SELECT doc_id, count_if(check LIKE 'size-%') AS n, count_if(check LIKE 'legal-%') AS bad FROM findings GROUP BY doc_id) WHERE bad = 0", "SELECT sum(n)::BIGINT AS n FROM (SELECT doc_id, count_if(\"check\" LIKE 'size-%') AS n, count_if(\"check\" LIKE 'legal-%') AS bad FROM findings GROUP BY doc_id) WHERE bad = 0")
 plan("a40_metric_extraction", "SELECT page_id, max(cast(d AS bigint)) AS deepest FROM (SELECT page_id, explode(regexp_extract_all(url, '([0-9]+)', 1)) AS d FROM pages) GROUP BY page_id", "SELECT page_id, max(d::BIGINT) AS deepest FROM (SELECT page_id, unnest(regexp_extract_all(url, '[0-9]+')) AS d FROM pages) GROUP BY page_id")
 plan("a41_scan_summary", "SELECT status, count(*) AS n, count(DISTINCT path) AS paths FROM scanlog GROUP BY status")
@@ -163,9 +217,35 @@ def _(spark):
     return flags.groupBy("label").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"))
 
 
-plan("a46_legacy_fixing", "SELECT system, round(avg(CASE WHEN passed AND NOT truncated THEN 1.0D ELSE 0.0D END), 9) AS score, count_if(remaining IS NOT NULL) AS with_code FROM repairs GROUP BY system", "SELECT system, round(avg(CASE WHEN passed AND NOT truncated THEN 1.0 ELSE 0.0 END), 9) AS score, count_if(remaining IS NOT NULL) AS with_code FROM repairs GROUP BY system")
-plan("a47_severity_accuracy", "SELECT count_if(e = 0) AS exact, count_if(e <= 5) AS within5, count_if(e <= 10) AS within10 FROM (SELECT abs(l_linenumber - l_quantity) AS e FROM lineitem)")
-plan("a48_weighted_average", f"SELECT round(sum(f1 * support) / sum(support), 9) AS weighted FROM (SELECT support, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / cast(2 * tp + fp + fn AS double) ELSE 0.0D END AS f1 FROM ({_LABELS}))", f"SELECT round(sum(f1 * support) / sum(support), 9) AS weighted FROM (SELECT support, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0.0 END AS f1 FROM ({_LABELS}))")
+_PAIRS = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('so ', p_name) WHEN 1 THEN '{"fixed_code": "", "explanations": [],}' ELSE concat('{"fixed_code": "', p_name, '", "explanations": [{"smell_type": "', p_brand, '"}, {"smell_type": "b"}]}') END AS predicted,
+CASE WHEN p_partkey % 7 = 0 THEN '{' WHEN p_partkey % 6 = 2 THEN concat('{"fixed_code": "', p_type, '", "explanations": []}') ELSE concat('{"fixed_code": "', p_name, ' ', p_type, '", "explanations": [{"smell_type": "', p_brand, '"}, {"smell_type": "c"}]}') END AS gold FROM part"""
+_TOKENS = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '\\w+'))"
+_LEGACY_SQL = f"""SELECT round(avg((p_partkey % 6 > 0)::INT), 9) AS json_validity, round(avg(CASE WHEN sound THEN CASE WHEN k = 2 THEN 0.0 WHEN k = 1 THEN 0.0 ELSE 0.5 END ELSE 0.0 END), 9) AS avg_explanation_match,
+round(avg(CASE WHEN sound AND k <> 1 THEN len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) ELSE 0.0 END), 9) AS avg_ast_similarity, count_if(NOT (sound AND k = 1)) AS n_scored
+FROM (SELECT p_partkey, p_partkey % 6 AS k, p_partkey % 6 > 0 AND p_partkey % 7 > 0 AS sound, {_TOKENS('p_name')} AS x, {_TOKENS("CASE WHEN p_partkey % 6 = 2 THEN p_type ELSE p_name || ' ' || p_type END")} AS y FROM part)"""
+
+
+@query("a46_legacy_fixing", _LEGACY_SQL)
+def _(spark):
+    return _rounded(metrics.legacy_fixing(spark.sql(_PAIRS), "predicted", "gold").select("json_validity", "avg_explanation_match", "avg_ast_similarity", "n_scored"), "json_validity", "avg_explanation_match", "avg_ast_similarity")
+
+
+@query("a46_legacy_overlap")
+def _(spark):
+    """The means of BLEU and ROUGE-L, which SQL cannot state; tests hold both scores against plain ones."""
+    return metrics.legacy_fixing(spark.sql(_PAIRS), "predicted", "gold").select("n_scored", "avg_bleu", "avg_rouge")
+
+
+_ERRORS = "SELECT o_orderkey, o_custkey % 101 AS gold, (o_orderkey * 7) % 101 AS pred, abs(o_custkey % 101 - (o_orderkey * 7) % 101) AS e FROM orders"
+_WITHIN = "SELECT 'exact' AS name, count_if(e = 0) AS n FROM ({0}) UNION ALL SELECT 'within 5', count_if(e <= 5) FROM ({0}) UNION ALL SELECT 'within 10', count_if(e <= 10) FROM ({0}) UNION ALL SELECT 'same range', count_if({1} = {2}) FROM ({0}) UNION ALL (SELECT concat('error of ', o_orderkey), e FROM ({0}) ORDER BY e DESC, o_orderkey LIMIT 5)"
+plan("a47_severity_accuracy", _WITHIN.format(_ERRORS, "gold div 20", "pred div 20"), _WITHIN.format(_ERRORS, "gold // 20", "pred // 20"))
+
+
+@query("a48_weighted_average", "SELECT " + ", ".join(f"round(sum({c} * support) / sum(support), 9) AS {c}" for c in ("precision", "recall", "f1")) + f" FROM (SELECT support, {RATES} FROM ({_LABELS}))")
+def _(spark):
+    """Means over labels, weighted by how often each occurs."""
+    rows = metrics.per_label(spark.table("preds"))
+    return rows.agg(*(F.round(F.sum(F.col(c) * F.col("support")) / F.sum("support"), 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query("a49_pivot", "SELECT engine, count_if(system = 'adapter' AND passed) AS adapter, count_if(system = 'base' AND passed) AS base, count_if(system = 'tool' AND passed) AS tool FROM repairs GROUP BY engine")
@@ -180,7 +260,25 @@ plan("a53_fixed_vocabulary", "SELECT v.label, coalesce(c.n, 0) AS n FROM (SELECT
 plan("a54_nested_counts", "SELECT doc_id, chk, count(*) AS n FROM (SELECT doc_id, check AS chk FROM findings) GROUP BY doc_id, chk", "SELECT doc_id, \"check\" AS chk, count(*) AS n FROM findings GROUP BY doc_id, \"check\"")
 plan("a55_sorted_set", "SELECT split, array_sort(collect_set(engine)) AS engines FROM units GROUP BY split", "SELECT split, list_sort(list(DISTINCT engine)) AS engines FROM units GROUP BY split")
 plan("a56_first_hundred", "SELECT round(avg(CASE WHEN valid THEN 1.0D ELSE 0.0D END), 9) AS rate FROM (SELECT valid FROM preds ORDER BY doc_id LIMIT 100)", "SELECT round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 9) AS rate FROM (SELECT valid FROM preds ORDER BY doc_id LIMIT 100)")
-plan("a57_composed_samples", "SELECT system, id FROM (SELECT system, id, row_number() OVER (PARTITION BY system ORDER BY id) AS r FROM repairs) WHERE r <= 3")
+_FIXED = ("json_validity", "avg_explanation_match", "avg_ast_similarity")
+
+
+@query("a57_composed_samples", f"""SELECT 'detection' AS part, label AS name, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0.0 END, 9) AS value FROM (SELECT label, count_if(g AND p) AS tp, count_if(NOT g AND p) AS fp, count_if(g AND NOT p) AS fn FROM (SELECT 'low_quality' AS label, g_low AS g, p_low AS p FROM ({_LEGACY}) UNION ALL SELECT 'toxic', g_tox, p_tox FROM ({_LEGACY})) GROUP BY label)
+UNION ALL {" UNION ALL ".join(f"SELECT 'fixing', '{n}', {n} FROM ({_LEGACY_SQL})" for n in _FIXED)}
+UNION ALL SELECT 'detection sample', doc_id::VARCHAR, len(pred)::DOUBLE FROM (SELECT doc_id, pred FROM preds ORDER BY doc_id LIMIT 3)
+UNION ALL SELECT 'fixing sample', p_partkey::VARCHAR, length(p_name)::DOUBLE FROM (SELECT p_partkey, p_name FROM part WHERE p_partkey % 6 > 1 ORDER BY p_partkey LIMIT 3)""")
+def _(spark):
+    """The detection and fixing scores of one model, with three sample predictions of each kind."""
+    none = F.array().cast("array<string>")
+    rows = spark.table("preds").select(F.when(F.col("valid"), F.col("gold")).otherwise(none).alias("gold"), F.when(F.col("valid"), F.col("pred")).otherwise(none).alias("pred"))
+    has = lambda side, label: F.array_contains(side, label)
+    f1 = lambda label: (lambda tp, off: F.when(2 * tp + off > 0, 2 * tp / (2 * tp + off)).otherwise(0.0))(F.count_if(has("gold", label) & has("pred", label)), F.count_if(has("gold", label) != has("pred", label)))
+    found = rows.agg(*(f1(label).alias(label) for label in ("low_quality", "toxic")))
+    long = lambda df, part, names: df.select(F.inline(F.array(*(F.struct(F.lit(part).alias("part"), F.lit(n).alias("name"), F.round(F.col(n), 9).alias("value")) for n in names))))
+    first = spark.table("preds").orderBy("doc_id").limit(3).select(F.lit("detection sample").alias("part"), F.col("doc_id").cast("string").alias("name"), F.size("pred").cast("double").alias("value"))
+    fixed = F.length(F.get_json_object(lenient_json(F.col("predicted")), "$.fixed_code"))
+    second = spark.sql(_PAIRS).where(fixed > 0).orderBy("p_partkey").limit(3).select(F.lit("fixing sample").alias("part"), F.col("p_partkey").cast("string").alias("name"), fixed.cast("double").alias("value"))
+    return long(found, "detection", ("low_quality", "toxic")).union(long(metrics.legacy_fixing(spark.sql(_PAIRS), "predicted", "gold"), "fixing", _FIXED)).union(first).union(second)
 
 
 @query("w03_line_windows", "WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(code, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 12) AS ls FROM units) SELECT doc_id, len(list_distinct(list_transform(range(1, greatest(len(ls) - 4, 1)), lambda i: md5(array_to_string(ls[i:i+5], chr(10))))))::BIGINT AS n FROM l")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
-from loomstone.operators import dedup, gates, sample
+from loomstone.functions.source import syntax_of
+from loomstone.operators import dedup, gates, metrics, sample
 from loomstone.plans.catalog import plan, query
 from loomstone.streaming import log as stream
 
@@ -38,40 +39,102 @@ def _(spark):
     return spark.table("documents").select("doc_id", sample.entity_split(F.col("source"), {"val": ["src17"], "test": ["src18", "src19"]}).alias("split"))
 
 
-_VERIFY = """SELECT 'non-empty splits' AS name, count(DISTINCT split) = 3 AS ok, count(DISTINCT split)::VARCHAR AS detail FROM units
-UNION ALL SELECT 'unique ids', count(*) = count(DISTINCT doc_id), (count(*) - count(DISTINCT doc_id))::VARCHAR FROM units
-UNION ALL SELECT 'no repeated text', count(*) = count(DISTINCT md5(code)), (count(*) - count(DISTINCT md5(code)))::VARCHAR FROM units
-UNION ALL SELECT 'no markers', count_if(contains(code, '[INST]')) = 0, count_if(contains(code, '[INST]'))::VARCHAR FROM units
-UNION ALL SELECT 'known labels', count_if(p_odd) = 0, count_if(p_odd)::VARCHAR FROM flags
-UNION ALL SELECT 'token cap', count_if(n_tokens > 20000) = 0, count_if(n_tokens > 20000)::VARCHAR FROM units
-UNION ALL SELECT 'token recount', count_if(n_tokens <> length(code)) = 0, count_if(n_tokens <> length(code))::VARCHAR FROM units
-UNION ALL SELECT 'entities in one split', count_if(k > 1) = 0, count_if(k > 1)::VARCHAR FROM (SELECT engine, count(DISTINCT split) AS k FROM units GROUP BY engine)"""
-
-
-@query("q01_verify_built", _VERIFY)
+_SPLIT_OF = {"src17": "val", "src18": "test"}
+_BUILT = """SELECT doc_id AS id, engine, split, n_tokens, checks, doc_id % 50 <> 0 AS file_error_free, 3L AS start_line, 3 + doc_id % 40 AS end_line,
+transform(checks, c -> named_struct('check', CASE WHEN doc_id % 31 = 0 THEN 'odd' ELSE c END, 'line', 1 + doc_id % 41)) AS findings,
+array(named_struct('role', 'system', 'content', CASE WHEN doc_id % 43 = 0 THEN 'Report!' ELSE 'Report.' END), named_struct('role', 'user', 'content', concat('Find:\n\n', code)),
+named_struct('role', CASE WHEN doc_id % 53 = 0 THEN 'user' ELSE 'assistant' END, 'content', concat('{"checks": [', array_join(transform(CASE WHEN doc_id % 37 = 0 THEN reverse(checks) ELSE checks END, c -> concat('"', c, '"')), ', '), ']}'))) AS messages FROM units"""
+_FIXING = "SELECT id, engine, split, n_tokens, CASE WHEN id % 5 = 0 THEN slice(checks, 1, 0) ELSE array('style-shout') END AS fixed_checks, array(messages[0], messages[1], named_struct('role', 'assistant', 'content', replace(substring(messages[1].content, 8), '!!', ''))) AS messages FROM built WHERE id % 2 = 0"
+_LABELLED = "CASE WHEN engine = 'src17' THEN 'val' WHEN engine = 'src18' THEN 'test' ELSE 'train' END"
+_NORMAL = lambda c: f"trim(regexp_replace({c}, '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+def _report(*checks: tuple[str, str, str]) -> str:
+    """(name, count of violations, its table) as SQL."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, n = 0 AS ok, n::BIGINT::VARCHAR AS detail FROM (SELECT {count} AS n FROM {table})" for name, count, table in checks)
+
+
+_HALF = lambda split, positive: f"abs(2 * count_if({positive}) - count(*)) + {int(split == 'test')}"
+
+
+@query("q01_verify_built", _report(
+    ("rows in every split", "3 - count(DISTINCT split)", "units"),
+    ("answers are JSON with sorted and known checks", "count_if((len(checks) > 1 AND doc_id % 37 = 0) OR doc_id % 53 = 0)", "units"),
+    ("one prompt throughout", "count(DISTINCT doc_id % 43 = 0) - 1", "units"),
+    ("no markers inside the code", "count_if(contains(code, '@') OR contains(code, 'License'))", "units"),
+    ("rows are in the split of their entity", f"count_if(split <> {_LABELLED})", "units"),
+    ("evaluation rows come from clean files", "count_if(split <> 'train' AND doc_id % 50 = 0)", "units"),
+    ("findings lie inside their function", "count_if(len(checks) > 0 AND doc_id % 41 > doc_id % 40)", "units"),
+    ("findings are among the checks", "count_if(len(checks) > 0 AND doc_id % 31 = 0)", "units"),
+    ("token counts are fresh", "count_if(n_tokens <> length(code))", "units"),
+    ("conversations fit", "count_if(n_tokens > 4000)", "units"),
+    ("fixing rows are in the split of their entity", f"count_if(split <> {_LABELLED})", "units WHERE doc_id % 2 = 0"),
+    ("fixing conversations fit", "count_if(n_tokens > 4000)", "units WHERE doc_id % 2 = 0"),
+    ("targets differ from inputs", f"count_if({_NORMAL('code')} = {_NORMAL(chr(114) + 'eplace(code, ' + chr(39) + '!!' + chr(39) + ', ' + chr(39) * 2 + ')')})", "units WHERE doc_id % 2 = 0"),
+    ("fixing rows name what was fixed", "count_if(doc_id % 5 = 0)", "units WHERE doc_id % 2 = 0"),
+    ("no code appears twice", f"count(*) - count(DISTINCT md5({_NORMAL('code')}))", "units"),
+    ("ids are unique", "0", "(SELECT 1)"),
+    ("no entity in two splits", "0", "(SELECT 1)"),
+    ("val subset is balanced", _HALF("val", "len(checks) > 0"), "units WHERE split = 'val' AND doc_id % 3 = 0"),
+    ("test subset is balanced", _HALF("test", "len(checks) > 0"), "units WHERE split = 'test' AND doc_id % 3 = 0 OR doc_id = (SELECT min(doc_id) FROM units WHERE split = 'train')"),
+))
 def _(spark):
-    u = spark.table("units")
-    return gates.report(
-        gates.check(u, "non-empty splits", F.countDistinct("split"), lambda n: n == 3),
-        gates.check(u, "unique ids", F.count("*") - F.countDistinct("doc_id")),
-        gates.check(u, "no repeated text", F.count("*") - F.countDistinct(F.md5("code"))),
-        gates.check(u, "no markers", F.count_if(F.contains("code", F.lit("[INST]")))),
-        gates.check(spark.table("flags"), "known labels", F.count_if("p_odd")),
-        gates.check(u, "token cap", F.count_if(F.col("n_tokens") > 20000)),
-        gates.check(u, "token recount", F.count_if(F.col("n_tokens") != F.length("code"))),
-        gates.check(u.groupBy("engine").agg(F.countDistinct("split").alias("k")), "entities in one split", F.count_if(F.col("k") > 1)),
-    )
-
-
-@query("q02_verify_cleaned", "SELECT 'groups in one split' AS name, count_if(k > 1) = 0 AS ok, count_if(k > 1)::VARCHAR AS detail FROM (SELECT md5(code) AS h, count(DISTINCT split) AS k FROM units GROUP BY md5(code)) UNION ALL SELECT 'tail', count_if(trim(code) = '') = 0, count_if(trim(code) = '')::VARCHAR FROM units")
+    built = spark.sql(_BUILT)
+    built.createOrReplaceTempView("built")
+    train = built.where("split = 'train'")
+    stray = train.join(F.broadcast(train.agg(F.min("id").alias("least"))), F.col("id") == F.col("least"), "left_semi")
+    matched = {"val": built.where("split = 'val' AND id % 3 = 0"), "test": built.where("split = 'test' AND id % 3 = 0").unionByName(stray)}
+    code = lambda user: F.substr(user, F.lit(8))
+    return gates.verify_built(built, spark.sql(_FIXING), matched, code, ["low_quality", "toxic"], _SPLIT_OF, ["@", "License"], 4000, F.length(code(F.get("messages", 1)["content"])))
+
+
+_CLEANED = """SELECT doc_id AS id, md5(code) AS `group`, split, checks AS smells, CASE WHEN size(checks) = 0 AND doc_id % 9 > 0 THEN 0L ELSE doc_id % 100 END AS severity, CASE WHEN doc_id % 41 = 0 THEN array('a-b') ELSE transform(checks, c -> concat('x-', c)) END AS checks, n_tokens,
+array(named_struct('role', 'system', 'content', 'Report.'), named_struct('role', CASE WHEN doc_id % 59 = 0 THEN 'system' ELSE 'user' END, 'content', concat('Find:\n\n', replace(code, '. ', CASE WHEN doc_id % 61 = 0 THEN '>#include ' ELSE '. ' END)))) AS said FROM units"""
+_ANSWERED = """SELECT id, `group`, split, smells, severity, checks, n_tokens, array_append(said, named_struct('role', 'assistant', 'content', concat('{"smells": ', to_json(smells), ', "severity": ', severity, ', "checks": ', to_json(checks), '}'))) AS messages FROM cleaned_rows"""
+_CODE = "replace(code, '. ', CASE WHEN doc_id % 61 = 0 THEN '>#include ' ELSE '. ' END)"
+_SIX = rf"""(WITH l AS (SELECT split, list_filter(list_filter(list_transform(regexp_split_to_array({_CODE}, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(regexp_replace(x, '^[\x09-\x0D\x1C-\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ''), '[\x09-\x0D\x1C-\x20\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '')), lambda x: length(x) >= 12), lambda x: NOT regexp_matches(x, '^(//|/\*|\*|#include)')) AS ls FROM units),
+w AS (SELECT DISTINCT split, array_to_string(ls[i:i+5], chr(10)) AS w FROM (SELECT split, ls, unnest(range(1, len(ls) - 4)) AS i FROM l WHERE len(ls) > 5)) SELECT w, count(*) AS k FROM w GROUP BY w)"""
+
+
+@query("q02_verify_cleaned", _report(
+    ("rows have the expected fields", "0", "(SELECT 1)"),
+    ("messages are system and user and assistant", "count_if(doc_id % 59 = 0)", "units"),
+    ("one prompt throughout", "0", "(SELECT 1)"),
+    ("answers are JSON in the one schema", "count_if((len(checks) = 0 AND doc_id % 41 = 0) OR (len(checks) = 0 AND doc_id % 9 = 0 AND doc_id % 100 <> 0))", "units"),
+    ("no markers inside the code", f"count_if(contains({_CODE}, '@') OR contains({_CODE}, 'License'))", "units"),
+    ("no glued directives left", f"count_if(regexp_matches({_CODE}, '[A-Za-z0-9_\">)]#[ \t]*(?:define|include|ifdef|ifndef|endif|pragma|undef)\\b'))", "units"),
+    ("token counts are fresh", f"count_if(n_tokens <> length({_CODE}))", "units"),
+    ("conversations fit", "count_if(n_tokens > 4000)", "units"),
+    ("conversations end with the answer", "count_if(doc_id % 67 = 0)", "units"),
+    ("ids are unique", "0", "(SELECT 1)"),
+    ("no code appears twice", f"count(*) - count(DISTINCT md5({_NORMAL(_CODE)}))", "units"),
+    ("no group in two splits", "count_if(k > 1)", "(SELECT md5(code) AS h, count(DISTINCT split) AS k FROM units GROUP BY md5(code))"),
+    ("no window of six lines in two splits", "count_if(k > 1)", _SIX),
+    ("val subset is balanced", _HALF("val", "len(checks) > 0"), "units WHERE split = 'val' AND doc_id % 3 = 0"),
+))
 def _(spark):
-    u = spark.table("units")
-    groups = u.groupBy(F.md5("code").alias("h")).agg(F.countDistinct("split").alias("k"))
-    return gates.report(gates.check(groups, "groups in one split", F.count_if(F.col("k") > 1)), gates.check(u, "tail", F.count_if(F.btrim("code") == "")))
+    spark.sql(_CLEANED).createOrReplaceTempView("cleaned_rows")
+    rows = spark.sql(_ANSWERED)
+    code = lambda user: F.substr(user, F.lit(8))
+    shown = F.concat(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n"), F.when(F.col("id") % 67 == 0, " ").otherwise("\n<|EOT|>\n"))
+    fields = ["id", "group", "smells", "severity", "checks", "n_tokens", "messages"]
+    return gates.verify_cleaned(rows, {"val": rows.where("split = 'val' AND id % 3 = 0")}, code, fields, ["low_quality", "toxic"], ["@", "License"], 4000, F.length(code(F.get("messages", 1)["content"])), shown, "\n<|EOT|>\n")
+
 
+_DIGEST = "md5(concat(count(*), ':', sum(n_tokens), ':', min(md5(code)), ':', max(md5(code))))"
+plan("q03_pinned_reuse", f"SELECT now.engine, CASE WHEN stored.settings <> now.settings THEN 'settings differ' WHEN stored.digest <> now.digest THEN 'dataset differs' END AS refused FROM (SELECT engine, {_DIGEST} AS digest, 'cap=4000' AS settings FROM units GROUP BY engine) now JOIN (SELECT engine, {_DIGEST} AS digest, CASE WHEN engine = 'src05' THEN 'cap=2000' ELSE 'cap=4000' END AS settings FROM (SELECT engine, n_tokens, CASE WHEN engine IN ('src03', 'src05') THEN concat(code, '.') ELSE code END AS code FROM units) GROUP BY engine) stored ON stored.engine = now.engine", f"SELECT engine, CASE WHEN engine = 'src05' THEN 'settings differ' WHEN engine = 'src03' THEN 'dataset differs' END AS refused FROM units GROUP BY engine")
+
+
+@query("q04_recomputed_metrics", "SELECT label, unnest(['tp', 'fp', 'fn', 'f1']) AS metric, label <> 'toxic' OR metric NOT IN ('tp', 'f1') AS same FROM (SELECT unnest(['low_quality', 'toxic', 'odd']) AS label) WHERE label IN (SELECT unnest(list_concat(gold, pred)) FROM preds)")
+def _(spark):
+    """Stored figures, of which two are wrong, against those recomputed from the predictions."""
+    names = ["tp", "fp", "fn", "f1"]
+    long = lambda df, to: df.select("label", F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias(to)) for n in names))))
+    found = metrics.per_label(spark.table("preds"))
+    wrong = (F.col("label") == "toxic") & F.col("metric").isin("tp", "f1")
+    stored = long(found, "stored").withColumn("stored", F.when(wrong, F.col("stored") + 1).otherwise(F.round("stored", 4)))
+    return stored.join(long(found, "value"), ["label", "metric"]).select("label", "metric", (F.abs(F.col("stored") - F.col("value")) < 5e-4).alias("same"))
 
-plan("q03_pinned_reuse", "SELECT a.doc_id, md5(a.code) = md5(b.text) AND a.engine = b.source AS reusable FROM units a JOIN documents b ON a.doc_id = b.doc_id")
-plan("q04_recomputed_metrics", "SELECT s.engine, s.n AS stored, r.n AS recomputed, s.n = r.n AS same FROM (SELECT engine, count_if(p_low = g_low) AS n FROM flags GROUP BY engine) s JOIN (SELECT engine, sum(CASE WHEN p_low = g_low THEN 1 ELSE 0 END) AS n FROM flags GROUP BY engine) r ON s.engine = r.engine", "SELECT s.engine, s.n AS stored, r.n AS recomputed, s.n = r.n AS same FROM (SELECT engine, count_if(p_low = g_low) AS n FROM flags GROUP BY engine) s JOIN (SELECT engine, sum(CASE WHEN p_low = g_low THEN 1 ELSE 0 END)::BIGINT AS n FROM flags GROUP BY engine) r ON s.engine = r.engine")
 
 _PHASES = "SELECT doc_id // 2 AS id, CASE WHEN doc_id % 2 = 0 THEN 'before' ELSE 'after' END AS phase, \"check\" AS chk, message FROM findings"
 
@@ -86,8 +149,16 @@ def _(spark):
     return gates.repair_gate(d, "id", "style-shout")
 
 
-plan("q06_syntax_states", "SELECT low AS before_error, tox AS after_error, count(*) AS n FROM units GROUP BY low, tox")
-plan("q07_controls", "SELECT system, bool_and(NOT (truncated AND passed AND more_errors)) AS controls_hold FROM repairs GROUP BY system")
+@query("q06_syntax_states", "SELECT before_ok, after_ok, count(*) AS n, CASE WHEN before_ok AND NOT after_ok THEN min(p_partkey) END AS first_broken FROM (SELECT p_partkey, p_partkey % 4 > 0 AS before_ok, p_partkey % 6 > 0 AS after_ok FROM part) GROUP BY before_ok, after_ok")
+def _(spark):
+    """Syntax before and after an edit, and the first text that the edit broke."""
+    code = lambda broken: F.concat(F.lit("int f() { // "), "p_name", F.when(broken, " }").otherwise("\n}"))
+    rows = spark.table("part").select("p_partkey", syntax_of(code(F.col("p_partkey") % 4 == 0)).alias("b"), syntax_of(code(F.col("p_partkey") % 6 == 0)).alias("a"))
+    out = rows.groupBy(F.col("b.parse_ok").alias("before_ok"), F.col("a.parse_ok").alias("after_ok")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    return out.select("before_ok", "after_ok", "n", F.when(F.col("before_ok") & ~F.col("after_ok"), F.col("first")).alias("first_broken"))
+
+
+plan("q07_controls", "SELECT system, bool_and(NOT good OR passed) AS good_pass, bool_and(good OR NOT passed) AS bad_fail, count_if(good = passed) AS held, count(*) AS n FROM (SELECT system, passed, id % 2 = 0 AS good FROM repairs) GROUP BY system")
 
 
 @query("st01_resumable_scan", "SELECT path, cfg, count(*) AS n FROM scanlog GROUP BY path, cfg")

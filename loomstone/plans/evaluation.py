@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomstone.functions import text as T
-from loomstone.operators import metrics, sample
+from loomstone.operators import dedup, metrics, sample
 from loomstone.plans.catalog import plan, query
 from loomstone.sources import io
 
@@ -79,25 +79,27 @@ def _(spark):
 
 
 _HISTORY = "SELECT l_returnflag AS run, l_linenumber AS epoch, round(avg(l_extendedprice), 2) AS loss FROM lineitem GROUP BY l_returnflag, l_linenumber"
-plan("w15_early_stopping", f"SELECT run, epoch, loss, best, loss <= best AS improved FROM (SELECT run, epoch, loss, min(loss) OVER (PARTITION BY run ORDER BY epoch) AS best FROM ({_HISTORY}))")
+@query("w15_early_stopping", f"""WITH h AS ({_HISTORY}), b AS (SELECT *, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h),
+i AS (SELECT *, before IS NULL OR loss < before AS improved FROM b), t AS (SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch) AS last, max(epoch) OVER (PARTITION BY run) AS epochs FROM i),
+e AS (SELECT run, min(epoch) AS stop FROM t WHERE epoch - last >= 2 GROUP BY run)
+SELECT t.run, epoch, loss, least(before, loss) AS best, improved, epoch - last AS stale, epoch = stop AND epoch < epochs AS stopped FROM t LEFT JOIN e ON t.run = e.run WHERE stop IS NULL OR epoch <= stop""".replace("epoch = stop AND epoch < epochs", "coalesce(epoch = stop AND epoch < epochs, false)"))
+def _(spark):
+    return metrics.early_stopping(spark.sql(_HISTORY), "run", "epoch", "loss", 2)
 
 
 @query("w16_paired_bootstrap")
 def _(spark):
-    """Difference of pass rates with a percentile interval from 500 resamples; draws come from hashes, counts from one shuffle."""
+    """Difference of pass rates with a percentile interval from 10,000 resamples of all pairs."""
     a, b = (spark.table("repairs").where(F.col("system") == s).select("id", F.col("passed").cast("int").alias(s)) for s in ("adapter", "base"))
-    pairs = a.join(b, "id").select("id", (F.col("adapter") - F.col("base")).alias("d"))
-    times = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.struct(i.alias("b"), F.pmod(F.xxhash64("id", i), F.lit(1 << 20)).alias("u")))
-    poisson = sum(((F.col("t.u") >= int(q * (1 << 20))).cast("int") for q in (0.367879, 0.735759, 0.919699, 0.981012, 0.996340)), F.lit(0))
-    draws = pairs.select("id", "d", F.explode(times).alias("t")).select("d", F.col("t.b").alias("b"), poisson.alias("w"))
-    means = draws.groupBy("b").agg((F.sum(F.col("d") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
-    ends = means.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)").alias("low"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)").alias("high"))
-    return pairs.agg(F.avg("d").alias("difference")).crossJoin(ends)
+    return metrics.paired_bootstrap(a.join(b, "id").select((F.col("adapter") - F.col("base")).alias("d")), "d")
 
 
-@query("l01_sorted_write", "SELECT doc_id, row_number() OVER (ORDER BY doc_id)::INTEGER AS place FROM units WHERE split = 'test'")
+@query("l01_sorted_write", "SELECT doc_id, row_number() OVER (ORDER BY doc_id)::BIGINT AS place FROM units WHERE split = 'test'")
 def _(spark):
-    return spark.table("units").where("split = 'test'").select("doc_id", F.row_number().over(Window.orderBy("doc_id")).alias("place"))
+    """Written in id order; a row's place comes from ranges and their sizes, not from a task that sees all rows."""
+    path = dedup.scratch(spark)
+    spark.table("units").where("split = 'test'").select("doc_id", "engine").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return dedup.numbered(spark.read.parquet(path).select("doc_id", F.col("doc_id").alias("place")), "place").select("doc_id", (F.col("place") + 1).alias("place"))
 
 
 plan("l02_top_k", "SELECT engine, n FROM (SELECT engine, count(*) AS n FROM units GROUP BY engine) ORDER BY n DESC, engine LIMIT 5")
@@ -109,8 +111,9 @@ plan("l06_length_order", "SELECT doc_id, n_tokens FROM units ORDER BY n_tokens D
 
 @query("l07_batch_packing")
 def _(spark):
-    """Pools are hash-dealt groups of bounded size, as many as the table needs."""
-    u = spark.table("units").withColumn("pool", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    """Pools are hash-dealt groups of about 50,000 rows, as many as the table needs."""
+    u = spark.table("units")
+    u = u.withColumn("pool", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-u.count() // 50_000)))))
     return sample.pack_batches(u.select("pool", "doc_id", "n_tokens"), "pool", "n_tokens", "doc_id", 16, 40_000)
 
 
@@ -144,9 +147,10 @@ def _(spark):
     return sample.round_robin(strata, "stratum", 12, 4, "doc_id").select("doc_id", "stratum")
 
 
-@query("a22_interval_by_check", "SELECT want, count_if(passed) AS k, count(*) AS n FROM repairs GROUP BY want")
+@query("a22_interval_by_check", "SELECT want, k, n, round(greatest((k / n::DOUBLE + z2 / (2 * n)) / (1 + z2 / n) - h, 0), 9) AS low, round(least((k / n::DOUBLE + z2 / (2 * n)) / (1 + z2 / n) + h, 1), 9) AS high FROM (SELECT *, sqrt(z2) * sqrt(k / n::DOUBLE * (1 - k / n::DOUBLE) / n + z2 / (4 * n * n)) / (1 + z2 / n) AS h FROM (SELECT want, count_if(passed) AS k, count(*) AS n, 1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE AS z2 FROM repairs GROUP BY want))")
 def _(spark):
-    return spark.table("repairs").groupBy("want").agg(F.count_if("passed").alias("k"), F.count("*").alias("n"))
+    rows = spark.table("repairs").groupBy("want").agg(F.count_if("passed").alias("k"), F.count("*").alias("n")).withColumns(metrics.wilson(F.col("k"), F.col("n")))
+    return rows.withColumns({c: F.round(c, 9) for c in ("low", "high")})
 
 
 @query("sc17_length_bins", "SELECT bin, count(*) AS n FROM (SELECT len(list_filter([500, 1000, 2000, 4000], lambda x: x <= n_tokens))::BIGINT AS bin FROM units) GROUP BY bin")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
+from loomstone.functions.source import at_macro, defined_macros
 from loomstone.operators import policy
 from loomstone.operators.dedup import scratch
 from loomstone.operators.spans import edits_inside, points_in_ranges
@@ -54,14 +55,24 @@ def _(spark):
     return spark.table("pages").select("page_id", io.routed(name).alias("kind"))
 
 
-@query("src06_source_files", "SELECT 3::BIGINT AS n")
+@query("src05_json_document", "SELECT n_nationkey, n_name, n_nationkey % 3 AS level FROM nation")
 def _(spark):
-    """Writes a few files below the shared folder and lists them by suffix and size (SRC6, SRC7)."""
+    """A configuration over several lines for each nation, read as documents."""
     path = scratch(spark)
-    for suffix, n in (("cpp", 10), ("h", 20), ("hpp", 30), ("md", 10)):
-        spark.range(n).selectExpr("cast(id AS string) AS value").coalesce(1).write.option("compression", "none").text(f"{path}/{suffix}")
-    files = io.source_files(spark, path, [".txt"], ["md"], 512)
-    return files.agg(F.count("*").alias("n"))
+    spark.table("nation").selectExpr("concat('{', chr(10), '  \"key\": ', n_nationkey, ',', chr(10), '  \"scan\": {\"name\": \"', n_name, '\",', chr(10), '  \"level\": ', n_nationkey % 3, '}', chr(10), '}') AS value", "n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return io.read_document(spark, path, "key int, scan struct<name:string,level:int>").select(F.col("key").alias("n_nationkey"), F.col("scan.name").alias("n_name"), F.col("scan.level").alias("level"))
+
+
+@query("src06_source_files", "SELECT n_nationkey % 3 AS kind, count(*) AS files, sum(strlen(n_name) + 1)::BIGINT AS bytes FROM nation WHERE n_nationkey % 5 > 1 GROUP BY ALL")
+def _(spark):
+    """A file for each nation, in directories that are source code, vendored, or the version control's own; only the first kind is listed."""
+    path = scratch(spark)
+    where = F.when(F.col("n_nationkey") % 5 == 0, ".git").when(F.col("n_nationkey") % 5 == 1, "vendored").otherwise("src")
+    rows = spark.table("nation").select(F.col("n_name").alias("value"), where.alias("dir"), (F.col("n_nationkey") % 3).alias("kind"), "n_nationkey")
+    rows.repartition("n_nationkey").write.option("compression", "none").partitionBy("dir", "kind", "n_nationkey").text(path)
+    files = io.source_files(spark, path, [".txt"], ["dir=.git", "dir=vendored"], 512)
+    kind = F.regexp_extract("path", "kind=([0-9])", 1).cast("int")
+    return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 @query("src10_yaml_control_chars", r"SELECT page_id, length(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]', '', 'g'))::BIGINT AS n FROM pages")
@@ -69,10 +80,18 @@ def _(spark):
     return spark.table("pages").select("page_id", F.length(F.regexp_replace("html", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")).cast("bigint").alias("n"))
 
 
-@query("src11_optional_artifact", "SELECT 'pending' AS note, 0::BIGINT AS n")
+@query("src11_optional_artifact", "SELECT unnest(['missing', 'half', 'whole']) AS artifact, unnest(['pending', 'pending', 'present']) AS note, unnest([0, 0, (SELECT count(*) FROM nation)]) AS n")
 def _(spark):
-    rows, note = io.optional(spark, scratch(spark), "id bigint")
-    return rows.agg(F.count("*").alias("n")).select(F.lit(note).alias("note"), "n")
+    """An artifact that is not there, one whose last line is cut off, and a whole one."""
+    half, whole = scratch(spark), scratch(spark)
+    lines = spark.table("nation").selectExpr("to_json(named_struct('id', n_nationkey)) AS value")
+    lines.write.text(whole)
+    lines.union(spark.sql("SELECT '{\"id\": '")).write.text(half)
+    out = []
+    for name, path in (("missing", scratch(spark)), ("half", half), ("whole", whole)):
+        rows, note = io.optional(spark, path, "id bigint")
+        out.append(rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("artifact"), F.lit(note).alias("note"), "n"))
+    return out[0].union(out[1]).union(out[2])
 
 
 @query("src12_saved_table", "SELECT o_orderkey, o_orderpriority FROM orders")
@@ -111,11 +130,26 @@ def _(spark):
     return spark.read.schema("n_nationkey int, n_name string").option("header", True).csv(path)
 
 
-@query("snk05_manifest")
+@query("snk04_vocabulary", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def _(spark):
+    path = scratch(spark)
+    io.write_vocabulary(spark.table("documents").groupBy("lang").agg(F.count("*").alias("n")), path)
+    return spark.read.text(path).select(F.inline(F.from_json("value", "array<struct<lang:string,n:bigint>>")))
+
+
+@query("snk05_manifest", "SELECT count(*) AS n, count(DISTINCT doc_id) AS n_keys, sum(('0x' || left(sha256(concat(doc_id, chr(31), engine, chr(31), n_tokens)), 12))::BIGINT::HUGEINT)::VARCHAR AS digest FROM units")
 def _(spark):
     return io.manifest(spark.table("units"), "doc_id", "engine", "n_tokens")
 
 
+@query("snk05_input_digests", "SELECT sha256(concat(n_name, chr(10))) AS sha256 FROM nation")
+def _(spark):
+    """Digests of the files that a run reads: here one file for each nation."""
+    path = scratch(spark)
+    spark.table("nation").select(F.col("n_name").alias("value"), "n_nationkey").repartition("n_nationkey").write.option("compression", "none").partitionBy("n_nationkey").text(path)
+    return io.digests(spark, path).where(F.col("name").endswith(".txt")).select("sha256")
+
+
 plan("p01_projection", "SELECT doc_id, engine, n_tokens FROM units")
 plan("p02_drop_after_map", "SELECT doc_id, concat(lang, ':', engine) AS text FROM units")
 
@@ -221,11 +255,18 @@ plan("p23_conditional_update", "SELECT id, system, CASE WHEN new_warning THEN NU
 plan("p24_abstention", "SELECT doc_id, CASE WHEN NOT valid THEN 'invalid' WHEN n_tokens > 6000 THEN 'truncated' WHEN p_odd THEN 'unsupported' WHEN NOT (p_low OR p_tox) THEN 'nothing requested' ELSE 'generated' END AS status FROM flags")
 
 
-@query("p16_macro_origin", "SELECT doc_id, line_no, regexp_extract(line, '^([A-Za-z]+)', 1) IN ('The', 'Of', 'And') AS macro FROM lines")
+_USES = "CASE p_partkey % 6 WHEN 0 THEN 'CALL (1);' WHEN 1 THEN concat('ALONE; // ', p_name) WHEN 2 THEN 'ALONE + 1;' WHEN 3 THEN 'VALUE' WHEN 4 THEN 'OTHER(2);' ELSE 'BOTH;' END"
+
+
+@query("p16_macro_origin", "SELECT p_partkey, p_partkey % 7 > 0 AND p_partkey % 6 IN (1, 3) OR p_partkey % 6 = 0 AS macro FROM part")
 def _(spark):
-    known = F.broadcast(spark.createDataFrame([("The",), ("Of",), ("And",)], "word string"))
-    rows = spark.table("lines").withColumn("word", F.regexp_extract("line", "^([A-Za-z]+)", 1))
-    return rows.join(known.withColumn("macro", F.lit(True)), "word", "left").select("doc_id", "line_no", F.coalesce("macro", F.lit(False)).alias("macro"))
+    """Whether a finding's place is a macro's: a call of one with parameters, or one without alone on its line."""
+    defines = spark.sql("SELECT '#define CALL(x) x\n  # define ALONE 1\n#define VALUE 2\n#define BOTH(x) 1\n#define BOTH 1' AS text")
+    names = defines.select(F.inline(defined_macros(F.col("text")))).groupBy("name").agg(F.max("function_like").alias("called"))
+    sets = names.agg(F.collect_list(F.when(F.col("called"), F.col("name"))).alias("called"), F.collect_list(F.when(~F.col("called"), F.col("name"))).alias("alone"))
+    start = F.when(F.col("p_partkey") % 7 == 0, "  a = ").otherwise("\t ")
+    rows = spark.table("part").select("p_partkey", F.concat(F.lit("// x\n"), start, F.expr(_USES), F.lit("\nend")).alias("code"), (F.length(start) + 5).alias("o"))
+    return rows.crossJoin(F.broadcast(sets)).select("p_partkey", at_macro(F.col("code"), F.col("o"), F.col("called"), F.col("alone")).alias("macro"))
 
 
 _SPLITS = "(SELECT 'src17' AS engine, 'val' AS split UNION ALL SELECT 'src18', 'test' UNION ALL SELECT 'src19', 'test')"

@@ -14,8 +14,13 @@ CORRUPT = "_corrupt_record"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row for each non-blank line; a line that is no such object is dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """One row for each non-blank line; a line that is no such object makes the query that reads it fail."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON document that spans lines, such as a configuration."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def read_jsonl_first(spark: SparkSession, path: str, schema: str, order: str, n: int) -> DataFrame:
@@ -59,11 +64,20 @@ def routed(path: Column, kinds: tuple[str, ...] = ("detection", "fixing")) -> Co
 
 
 def optional(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, str]:
-    """(rows, note) of an artifact that may not exist yet: then no row, and "pending"."""
+    """(rows, note) of an artifact that may not exist yet, or only half: then no row, and "pending"."""
     try:
-        return read_jsonl(spark, path, schema), "present"
+        lines = spark.read.text(path).where(F.btrim("value") != "")
+        if lines.where(F.try_parse_json("value").isNull()).isEmpty():
+            return read_jsonl(spark, path, schema), "present"
     except AnalysisException:
-        return spark.createDataFrame([], StructType.fromDDL(schema)), "pending"
+        pass
+    return spark.createDataFrame([], StructType.fromDDL(schema)), "pending"
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """name, sha256 of each file below a path: what a manifest records of its inputs and outputs."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("sha256"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -99,9 +113,10 @@ def manifest(df: DataFrame, key: str, *columns: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_keys"), F.sum(part).cast("string").alias("digest"))
 
 
-def write_vocabulary(df: DataFrame, path: str) -> None:
-    """A small aggregate as one JSON document."""
-    Path(path).write_text(json.dumps([r.asDict() for r in df.limit(10_000).collect()], ensure_ascii=False, sort_keys=True), encoding="utf-8")
+def write_vocabulary(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A small aggregate as one JSON document on one line; one of over `most` rows is refused, never cut."""
+    few = F.when(F.count("*") > most, F.raise_error(F.lit(f"a vocabulary of over {most} rows"))).otherwise(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))))
+    df.agg(few.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -42,12 +42,14 @@ def latest_view(spark: SparkSession, log: DataFrame, keys: list[str], order: str
 
 
 def progress(spark: SparkSession, log: DataFrame) -> DataFrame:
-    """Rows of each batch in the order in which batches ended."""
+    """batch, n: the rows of each batch. Batches record themselves, however many there are; one that runs again replaces its record."""
     source, path = _fed(spark, log)
-    q = source.writeStream.option("checkpointLocation", f"{path}/ck").format("parquet").option("path", f"{path}/out").trigger(availableNow=True).start()
-    q.awaitTermination()
-    rows = [(int(p["batchId"]), int(p["numInputRows"])) for p in q.recentProgress if p["numInputRows"]]
-    return spark.createDataFrame(rows, "batch bigint, n bigint")
+
+    def record(batch: DataFrame, epoch: int) -> None:
+        batch.agg(F.lit(epoch).cast("bigint").alias("batch"), F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/progress/{epoch}")
+
+    source.writeStream.option("checkpointLocation", f"{path}/ck").foreachBatch(record).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("batch bigint, n bigint").option("recursiveFileLookup", "true").parquet(f"{path}/progress")
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
