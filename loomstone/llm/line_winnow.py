@@ -60,14 +60,14 @@ def _wordy(words: int) -> Column:
 def winnow_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False, words: int | None = None) -> DataFrame:
     """One row for each document: key, n_lines, n_removed, spans (half-open ranges of removed lines), kept_text.
 
-    A line goes if it lies in a run of RUN lines or more (compared exactly, split at \\n) that also starts earlier: at a smaller
-    key, or earlier in the same document. With words, a run of fewer lines counts as well if its lines together hold more than so
+    A line goes if it lies in a run of RUN lines or more (split at \\n, compared by two hashes of 64 bits) that also starts earlier: at
+    a smaller key, or earlier in the same document. With words, a run of fewer lines counts as well if its lines together hold more than so
     many words `[^\\x20\\x09-\\x0D]+`. Runs are judged on the input. kept_text joins the other lines by \\n.
 
     A hot line, or a hot group of copies, costs no pairs: fingerprints and runs are counted with partial sums before the shuffle,
     and positions join the one first place of their run, so a skewed join can be split. No Python runs on the executors.
 
-    A null text is one empty line, and stays null. Keys may be of any ordered type; a null key orders first. Rows that share key and text are one document:
+    A null text is one empty line, and stays null: its kept_text, and a digest of it, are null. Texts of any length are split whole. Keys may be of any ordered type; a null key orders first. Rows that share key and text are one document:
     they lose the same lines; rows that share a key only are ordered by a hash of the text. Without words, texts of fewer than RUN
     lines never change. An empty table gives no row. Other columns are never read; with carry they pass through and the result has all columns
     of docs and one struct more, "_verdict", with those above.

@@ -87,6 +87,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
+@_register
+def op8_base_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_quality_rules that SQL can state."""
+    return op8_quality_rules(spark, sf_dir).drop("llr", "kept")
+
+
+ORACLES["op8_base_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, g) > 1 OR lead(1) OVER (PARTITION BY doc_id, g) = 1 AS again FROM (SELECT doc_id, i, md5(array_to_string(ws[i:i+2], ' ')) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d))),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM w WHERE again), (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT md5(line)) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ws) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(ws) AS base_failed
+FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
 @_register
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

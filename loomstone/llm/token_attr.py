@@ -53,8 +53,9 @@ def token_counts(docs: DataFrame, path: str, pattern: str, separator: str = "\n"
     """One row for each section of each document: key, section (from 0), start, end (characters), n_tokens, n_crossing.
 
     Sections are cut after each separator (one ASCII character), which belongs to the section it ends; together they cover the text, so a document's
-    tokens are those of encoding it whole. A null or empty text is one empty section without tokens. Null keys are kept, repeated
-    rows each give their rows, an empty table gives none; other columns are never read. Documents are independent: no shuffle.
+    tokens are those of encoding it whole, however long it is. A null or empty text is one empty section without tokens. Null keys are
+    kept, repeated rows each give their rows, an empty table gives none; other columns are never read. Ties: a token with as many
+    bytes in two sections goes to the earlier one. Documents are independent: no shuffle.
     """
     if rule not in RULES or len(separator) != 1 or ord(separator) > 127:
         raise ValueError(f"rule is one of {RULES}, separator one ASCII character")

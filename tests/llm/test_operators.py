@@ -584,3 +584,26 @@ def test_quality_scores_of_odd_rows(spark):
     assert one == two and len(one) == 206 and all(0 <= s <= 1 for _, s, _, _ in one) and not any(h for k, *_, h in one if k == "None")
     bounded = mil_quality.fit(docs, labels, most=50, most_passages=60)
     assert bounded.weights is not None
+
+
+def test_odd_rows_of_the_other_operators(spark):
+    """Null keys, repeated rows, one key with several texts, clashing columns: every row is there, and copies fare alike."""
+    rng = random.Random(13)
+    lines = "\n".join(words(rng, 8) for _ in range(6))
+    rows = [(1, lines), (1, lines), (None, lines), (None, None), (None, ""), (2, "other " + lines), (2, words(rng, 5000))]
+    clash = ["key", "row", "_verdict", "th", "gone", "lines", "section", "piece", "start"]
+    df = spark.createDataFrame([(*r, *range(len(clash))) for r in rows], "doc_id bigint, text string, " + ", ".join(f"`{c}` int" for c in clash)).repartition(3)
+    got = line_winnow.winnow_lines(df).collect()
+    assert len(got) == 7 and sum(r.n_removed for r in got if r.doc_id == 1) == 12  # the null key orders first and keeps its lines
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [0, 0, 0]
+    path, pattern = tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern()
+    sections = token_attr.token_counts(df, path, pattern).collect()
+    assert len(sections) == 6 * 3 + 2 + 6 + 1 and len({r.n_tokens for r in sections if r.doc_id == 1 and r.section == 0}) == 1
+    pieces = best_fit.best_fit(df, tokenizer_path("word_bpe_49k.json")).collect()
+    assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces) and Counter(r.doc_id for r in pieces if r.piece == 0) == {1: 2, None: 3, 2: 2}
+    found = decontam.decontaminate(df, df.where("doc_id = 1").selectExpr("key AS item_id", "text")).collect()
+    assert len(found) == 7 and {r.n_hit for r in found if r.doc_id == 1} == {48}
+    scored = llr_rules.quality_rules(df, df.select("doc_id")).collect()
+    assert len(scored) == 7 and len({r.llr for r in scored if r.doc_id == 1}) == 1
+    groups = parity_join.jaccard_join(df).collect()
+    assert Counter(r.component_id for r in groups) == {1: 4, None: 3}  # both texts of 2 are one document, near 1
