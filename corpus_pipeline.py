@@ -52,7 +52,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id in each group of near duplicates stays, once.
 
-    Rows that share id and text are one document; rows that share an id only are judged each by its own text. A row without an id
+    Rows that share id and text are one document. Of rows that share an id only, those whose text an earlier id has too go and the others
+    stay; where no earlier id has either text they are one document, and a near copy of one text is one of both. A row without an id
     is in no group and stays; so does one whose text is null or has no words, once for each id. Very long texts are compared
     whole. An empty table gives an empty one. Columns keep their names, whatever they are.
     """
