@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomstone.functions.text import bin_of, edges_of
+
 
 def rank_key(seed: int, namespace: str, key: Column) -> Column:
     """Stable rank of an id: the hex digest of seed, namespace and id."""
@@ -54,6 +56,16 @@ def following(rows: DataFrame, entity: str, bin_: str, positive: str, most: int,
     return taken.unionByName(rest.select(taken.columns))
 
 
+def following_lengths(rows: DataFrame, entity: str, length: str, positive: str, most: int, ratio: float, bins: int, seed: int, key: str) -> DataFrame:
+    """As following, with bins between the percentiles of each entity's own taken positives; an entity without any gives nothing."""
+    w = Window.partitionBy(entity).orderBy(rank_key(seed, "positive", F.col(key)), key)
+    taken = rows.where(positive).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    inner = F.array(*(F.lit(k / bins) for k in range(1, bins)))
+    edges = taken.groupBy(entity).agg(edges_of(F.percentile(length, inner)).alias("_edges"))
+    binned = rows.join(edges, entity).withColumn("_bin", bin_of(F.col("_edges"), F.col(length))).drop("_edges")
+    return following(binned, entity, "_bin", positive, most, ratio, seed, key).drop("_bin")
+
+
 def rarest_first(rows: DataFrame, entity: str, labels: str, good: str, most: int, seed: int, key: str) -> DataFrame:
     """Up to `most` good rows of each entity, those with the rarest label first; rarity counts a label over all rows."""
     counts = rows.select(F.explode(F.array_distinct(labels)).alias("label")).groupBy("label").agg(F.count("*").alias("_n"))

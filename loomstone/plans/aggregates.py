@@ -105,7 +105,8 @@ def _(spark):
     return out.withColumns({c: F.col(c).cast("double") for c in out.columns if c.startswith("p")})
 
 
-plan("a18_split_summary", "SELECT split, count(*) AS n, count(DISTINCT engine) AS engines, count(DISTINCT md5(code)) AS texts, count_if(low) AS low, count_if(tox) AS tox, count_if(labelled) AS labelled, min(n_tokens) AS least, max(n_tokens) AS most, sum(n_tokens) AS total, count_if(lang = 'en') AS english, count_if(n_tokens > 2000) AS long_rows FROM units GROUP BY split", "SELECT split, count(*) AS n, count(DISTINCT engine) AS engines, count(DISTINCT md5(code)) AS texts, count_if(low) AS low, count_if(tox) AS tox, count_if(labelled) AS labelled, min(n_tokens) AS least, max(n_tokens) AS most, sum(n_tokens)::BIGINT AS total, count_if(lang = 'en') AS english, count_if(n_tokens > 2000) AS long_rows FROM units GROUP BY split")
+_SUMMARY = "SELECT split, count(*) AS n, count(DISTINCT engine) AS engines, count(DISTINCT md5(code)) AS texts, count(*) - count(DISTINCT md5(code)) AS duplicates, count_if(low) AS low, count_if(tox) AS tox, count_if(labelled) AS labelled, count_if(low AND tox) AS several, min(n_tokens) AS least, max(n_tokens) AS most, {total} AS total, count_if(lang = 'en') AS english, count_if(n_tokens > 2000) AS long_rows, {p50} AS p50, {p90} AS p90 FROM units GROUP BY split"
+plan("a18_split_summary", _SUMMARY.format(total="sum(n_tokens)", p50="percentile(n_tokens, 0.5)", p90="percentile(n_tokens, 0.9)"), _SUMMARY.format(total="sum(n_tokens)::BIGINT", p50="quantile_cont(n_tokens, 0.5)", p90="quantile_cont(n_tokens, 0.9)"))
 plan("a19_duplicate_counts", "SELECT split, count(*) - count(DISTINCT md5(code)) AS duplicates FROM units GROUP BY split")
 plan("a20_group_in_one_split", "SELECT count_if(k > 1) AS spanning, count(*) AS groups FROM (SELECT md5(code) AS h, count(DISTINCT split) AS k FROM units GROUP BY md5(code))")
 plan("a21_vocabulary_overlap", "SELECT split, count_if(p_low OR p_tox) AS any_known, count_if(p_odd AND NOT p_low AND NOT p_tox) AS only_unknown FROM flags GROUP BY split")
@@ -119,7 +120,8 @@ def _(spark):
 
 plan("a23_rate", "SELECT system, CASE WHEN count(*) > 0 THEN round(avg(CASE WHEN coalesce(passed, false) THEN 1.0D ELSE 0.0D END), 4) END AS rate FROM repairs GROUP BY system", "SELECT system, CASE WHEN count(*) > 0 THEN round(avg(CASE WHEN coalesce(passed, false) THEN 1.0 ELSE 0.0 END), 4) END AS rate FROM repairs GROUP BY system")
 plan("a24_grouped_passes", "SELECT engine, want, count(*) AS n, count_if(passed) AS passed FROM repairs GROUP BY engine, want")
-plan("a25_pipeline_summary", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN truncated THEN 'truncated' WHEN passed THEN 'passed' ELSE 'failed' END AS status FROM repairs WHERE system = 'adapter') GROUP BY status")
+_TARGETS = "SELECT status, count(*) AS targets, count_if(remaining IS NULL OR remaining <> target) AS recalled FROM (SELECT CASE WHEN truncated THEN 'truncated' WHEN passed THEN 'passed' ELSE 'failed' END AS status, {each} AS target, remaining FROM repairs WHERE system = 'adapter') GROUP BY status"
+plan("a25_pipeline_summary", _TARGETS.format(each="explode(array(want, 'size-long-line'))"), _TARGETS.format(each="unnest([want, 'size-long-line'])"))
 plan("a26_tool_summary", "SELECT system, count_if(truncated) AS truncated, count_if(more_errors) AS errors, round(sum(seconds), 3) AS total, round(avg(seconds), 6) AS mean FROM (SELECT system, truncated, more_errors, cast(seconds AS double) AS seconds FROM repairs) GROUP BY system")
 _CATEGORY = "CASE WHEN truncated THEN 'truncated generation' END", "CASE WHEN remaining IS NOT NULL THEN 'requested findings remain' END", "CASE WHEN new_warning THEN 'new enabled warnings' END", "CASE WHEN more_errors THEN 'new compiler errors' END"
 _NONE = "CASE WHEN NOT truncated AND remaining IS NULL AND NOT new_warning AND NOT more_errors AND NOT passed THEN 'not validated' END"
@@ -144,7 +146,8 @@ def _(spark):
 plan("a31_bounded_examples", "SELECT chk, doc_id, o FROM (SELECT check AS chk, doc_id, o, row_number() OVER (PARTITION BY check ORDER BY doc_id, o) AS r FROM findings) WHERE r <= 2", "SELECT chk, doc_id, o FROM (SELECT \"check\" AS chk, doc_id, o, row_number() OVER (PARTITION BY \"check\" ORDER BY doc_id, o) AS r FROM findings) WHERE r <= 2")
 plan("a32_truncation_survival", "SELECT lim, sum(greatest(least(lim - (n_tokens - 100), 100), 0)) AS kept FROM units CROSS JOIN (SELECT 500 AS lim UNION ALL SELECT 1000 UNION ALL SELECT 4000) GROUP BY lim", "SELECT lim, sum(greatest(least(lim - (n_tokens - 100), 100), 0))::BIGINT AS kept FROM units CROSS JOIN (SELECT 500 AS lim UNION ALL SELECT 1000 UNION ALL SELECT 4000) GROUP BY lim")
 plan("a33_ratio_of_sums", "SELECT split, round(sum(least(n_tokens, 500)) / cast(sum(n_tokens) AS double), 9) AS share FROM units GROUP BY split", "SELECT split, round(sum(least(n_tokens, 500)) / sum(n_tokens)::DOUBLE, 9) AS share FROM units GROUP BY split")
-plan("a34_key_histogram", "SELECT keys, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, array_join(array_sort(json_object_keys(props)), ',') AS keys FROM events) GROUP BY keys", "SELECT keys, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS keys FROM events) GROUP BY keys")
+_KEYS = "SELECT 'keys' AS part, keys AS value, count(*) AS n, min(event_id) AS first FROM (SELECT event_id, {join} AS keys FROM events) GROUP BY keys UNION ALL SELECT 'label', event_type, count(*), min(event_id) FROM events GROUP BY event_type"
+plan("a34_key_histogram", _KEYS.format(join="array_join(array_sort(json_object_keys(props)), ',')"), _KEYS.format(join="array_to_string(list_sort(json_keys(props)), ',')"))
 _AUDITED = "SELECT doc_id, checks, concat('{\"smells\": [\"', array_join(checks, ', '), '\"], \"severity\": ', doc_id % 100, ', \"location\": \"', CASE WHEN doc_id % 4 = 0 THEN 'file' WHEN doc_id % 4 = 1 THEN 'line' ELSE 'function' END, '\", \"explanation\": \"x-a, x-b, x-', doc_id % 3, '\"}') AS answer FROM units"
 _SEVERITY = "(doc_id % 100) // 20"
 
@@ -198,7 +201,19 @@ plan("a37_fractional_votes", _votes("substring_index({}, '/', -1)", "endswith"),
 plan("a38_occurrences", "SELECT message, count(*) AS n FROM findings GROUP BY message HAVING count(*) >= 3")
 plan("a38_per_record", "SELECT word, count(*) AS n FROM (SELECT DISTINCT p_partkey, word FROM (SELECT p_partkey, explode(split(p_name, ' ')) AS word FROM part)) GROUP BY word HAVING count(*) >= greatest(2, 0.15D * (SELECT count(*) FROM part))", "SELECT word, count(*) AS n FROM (SELECT DISTINCT p_partkey, word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part)) GROUP BY word HAVING count(*) >= greatest(2, 0.15 * (SELECT count(*) FROM part))")
 plan("a39_yield", "SELECT sum(n) AS n FROM (SELECT doc_id, count_if(check LIKE 'size-%') AS n, count_if(check LIKE 'legal-%') AS bad FROM findings GROUP BY doc_id) WHERE bad = 0", "SELECT sum(n)::BIGINT AS n FROM (SELECT doc_id, count_if(\"check\" LIKE 'size-%') AS n, count_if(\"check\" LIKE 'legal-%') AS bad FROM findings GROUP BY doc_id) WHERE bad = 0")
-plan("a40_metric_extraction", "SELECT page_id, max(cast(d AS bigint)) AS deepest FROM (SELECT page_id, explode(regexp_extract_all(url, '([0-9]+)', 1)) AS d FROM pages) GROUP BY page_id", "SELECT page_id, max(d::BIGINT) AS deepest FROM (SELECT page_id, unnest(regexp_extract_all(url, '[0-9]+')) AS d FROM pages) GROUP BY page_id")
+_NOTES = "concat(p_size, ' lines including whitespace')", "concat(p_partkey % 9, ' branches')", "concat('nesting level ', p_partkey % 4 + 1, ' starts here')", "concat('nesting level ', p_partkey % 3 + 2, ' starts here')", "concat('see ', p_name)"
+
+
+@query("a40_metric_extraction", "SELECT p_partkey, p_size::INTEGER AS lines, (p_partkey % 9)::INTEGER AS branches, greatest(p_partkey % 4 + 1, p_partkey % 3 + 2)::INTEGER AS nesting FROM part")
+def _(spark):
+    """Metrics told by notes: counts by their names, and the deepest nesting."""
+    notes = spark.table("part").select("p_partkey", F.array(*map(F.expr, _NOTES)).alias("notes"))
+    told = F.filter(F.transform("notes", lambda x: F.struct(F.regexp_extract(x, r"^[0-9]+ ([a-z]+)", 1).alias("key"), F.regexp_extract(x, r"^([0-9]+) [a-z]+", 1).try_cast("int").alias("value"))), lambda e: e["key"] != "")
+    deep = F.array_max(F.transform("notes", lambda x: F.regexp_extract(x, r"^nesting level ([0-9]+)", 1).try_cast("int")))
+    found = F.map_from_entries(told)
+    return notes.select("p_partkey", F.element_at(found, "lines").alias("lines"), F.element_at(found, "branches").alias("branches"), deep.alias("nesting"))
+
+
 plan("a41_scan_summary", "SELECT status, count(*) AS n, count(DISTINCT path) AS paths FROM scanlog GROUP BY status")
 plan("a42_argmax_first", "SELECT engine FROM (SELECT engine, count(*) AS n FROM units GROUP BY engine) ORDER BY n DESC, engine LIMIT 1")
 plan("a43_weighted_mean", "SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 9) AS mean FROM lineitem GROUP BY l_returnflag")
@@ -207,14 +222,22 @@ plan("a44_min_by", "SELECT l_returnflag, l_linenumber AS epoch FROM (SELECT l_re
 _LEGACY = "SELECT doc_id, CASE WHEN valid THEN g_low ELSE false END AS g_low, CASE WHEN valid THEN g_tox ELSE false END AS g_tox, p_low, p_tox FROM flags"
 
 
-@query("a45_legacy_scores", f"SELECT label, count_if(g AND p) AS tp, count_if(NOT g AND p) AS fp, count_if(g AND NOT p) AS fn FROM (SELECT 'low_quality' AS label, g_low AS g, p_low AS p FROM ({_LEGACY}) UNION ALL SELECT 'toxic', g_tox, p_tox FROM ({_LEGACY})) GROUP BY label")
+_TYPED = " UNION ALL ".join(f"SELECT '{label}' AS label, {g} AS g, {p} AS p FROM ({_LEGACY})" for label, g, p in (("low_quality", "g_low", "p_low"), ("toxic", "g_tox", "p_tox"), ("never", "false", "false")))
+_TYPES = f"SELECT label, count_if(g AND p) AS tp, count_if(NOT g AND p) AS fp, count_if(g AND NOT p) AS fn FROM ({_TYPED}) GROUP BY label"
+
+
+@query("a45_legacy_scores", f"SELECT *, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0.0 END, 9) AS f1, (SELECT round(avg(2 * tp / (2 * tp + fp + fn)::DOUBLE), 9) FROM ({_TYPES}) WHERE tp + fp + fn > 0) AS mean_f1 FROM ({_TYPES})")
 def _(spark):
-    """Either side invalid: both sets are empty; every fixed type is scored, whether it occurs or not."""
+    """Either side invalid: both sets are empty; every fixed type is scored, whether it occurs or not. The mean takes those with any hit or miss."""
     none = F.array().cast("array<string>")
     rows = spark.table("preds").select(F.when(F.col("valid"), F.col("gold")).otherwise(none).alias("gold"), F.when(F.col("valid"), F.col("pred")).otherwise(none).alias("pred"))
-    flags = rows.crossJoin(F.broadcast(spark.createDataFrame([("low_quality",), ("toxic",)], "label string")))
+    flags = rows.select("gold", "pred", F.explode(F.array(*map(F.lit, ("low_quality", "toxic", "never")))).alias("label"))
     g, p = F.array_contains("gold", F.col("label")), F.array_contains("pred", F.col("label"))
-    return flags.groupBy("label").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"))
+    sums = flags.groupBy("label").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"))
+    off = 2 * F.col("tp") + F.col("fp") + F.col("fn")
+    scored = sums.withColumn("f1", F.when(off > 0, F.round(2 * F.col("tp") / off, 9)).otherwise(0.0))
+    mean = sums.where(off > 0).agg(F.round(F.avg(2 * F.col("tp") / off), 9).alias("mean_f1"))  # one row
+    return scored.crossJoin(F.broadcast(mean))
 
 
 _PAIRS = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN concat('so ', p_name) WHEN 1 THEN '{"fixed_code": "", "explanations": [],}' ELSE concat('{"fixed_code": "', p_name, '", "explanations": [{"smell_type": "', p_brand, '"}, {"smell_type": "b"}]}') END AS predicted,
@@ -259,7 +282,8 @@ plan("a52_share_by_bin", "SELECT bin, count(*) AS n, count_if(low) AS smelly FRO
 plan("a53_fixed_vocabulary", "SELECT v.label, coalesce(c.n, 0) AS n FROM (SELECT 'low_quality' AS label UNION ALL SELECT 'toxic' UNION ALL SELECT 'never') v LEFT JOIN (SELECT label, count(*) AS n FROM (SELECT explode(gold) AS label FROM preds) GROUP BY label) c ON v.label = c.label", "SELECT v.label, coalesce(c.n, 0) AS n FROM (SELECT 'low_quality' AS label UNION ALL SELECT 'toxic' UNION ALL SELECT 'never') v LEFT JOIN (SELECT label, count(*) AS n FROM (SELECT unnest(gold) AS label FROM preds) GROUP BY label) c ON v.label = c.label")
 plan("a54_nested_counts", "SELECT doc_id, chk, count(*) AS n FROM (SELECT doc_id, check AS chk FROM findings) GROUP BY doc_id, chk", "SELECT doc_id, \"check\" AS chk, count(*) AS n FROM findings GROUP BY doc_id, \"check\"")
 plan("a55_sorted_set", "SELECT split, array_sort(collect_set(engine)) AS engines FROM units GROUP BY split", "SELECT split, list_sort(list(DISTINCT engine)) AS engines FROM units GROUP BY split")
-plan("a56_first_hundred", "SELECT round(avg(CASE WHEN valid THEN 1.0D ELSE 0.0D END), 9) AS rate FROM (SELECT valid FROM preds ORDER BY doc_id LIMIT 100)", "SELECT round(avg(CASE WHEN valid THEN 1.0 ELSE 0.0 END), 9) AS rate FROM (SELECT valid FROM preds ORDER BY doc_id LIMIT 100)")
+_FIRST = "SELECT 'text' AS kind, round(avg(CASE WHEN valid THEN 1.0{d} ELSE 0.0{d} END), 9) AS rate FROM (SELECT valid FROM preds ORDER BY doc_id LIMIT 100) UNION ALL SELECT 'numbers', 0.5{d}"
+plan("a56_first_hundred", _FIRST.format(d="D"), _FIRST.format(d="::DOUBLE"))
 _FIXED = ("json_validity", "avg_explanation_match", "avg_ast_similarity")
 
 

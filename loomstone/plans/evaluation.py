@@ -55,10 +55,13 @@ def _(spark):
     return sample.balanced(rows, ["bin"], "low", 9, "doc_id").select("doc_id", "bin", "low")
 
 
-@query("w10_length_following", f"WITH b AS (SELECT doc_id, engine, low, (n_tokens // 1000) AS bin FROM units WHERE labelled), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY {_SHA.format(seed=9, ns='positive')}, doc_id) AS r FROM b WHERE low) WHERE r <= 4), n AS (SELECT engine, bin, round_even(count(*) * 1.5, 0)::BIGINT AS k FROM t GROUP BY engine, bin) SELECT doc_id, low FROM t UNION ALL SELECT doc_id, low FROM (SELECT b.*, n.k, row_number() OVER (PARTITION BY b.engine, b.bin ORDER BY {_SHA.format(seed=9, ns='negative')}, doc_id) AS r FROM b JOIN n ON b.engine = n.engine AND b.bin = n.bin WHERE NOT low) WHERE r <= k")
+@query("w10_length_following", f"""WITH u AS (SELECT doc_id, engine, low, n_tokens FROM units WHERE labelled), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY {_SHA.format(seed=9, ns='positive')}, doc_id) AS r FROM u WHERE low) WHERE r <= 4),
+e AS (SELECT engine, list_distinct(list_transform(quantile_cont(n_tokens, [0.25, 0.5, 0.75]), lambda x: floor(round(x, 6))::BIGINT)) AS edges FROM t GROUP BY engine),
+b AS (SELECT u.*, len(list_filter(edges, lambda x: x <= n_tokens)) AS bin FROM u JOIN e ON u.engine = e.engine), n AS (SELECT engine, bin, round_even(count(*) * 1.5, 0)::BIGINT AS k FROM b WHERE doc_id IN (SELECT doc_id FROM t) GROUP BY engine, bin)
+SELECT doc_id, low FROM t UNION ALL SELECT doc_id, low FROM (SELECT b.*, n.k, row_number() OVER (PARTITION BY b.engine, b.bin ORDER BY {_SHA.format(seed=9, ns='negative')}, doc_id) AS r FROM b JOIN n ON b.engine = n.engine AND b.bin = n.bin WHERE NOT low) WHERE r <= k""")
 def _(spark):
-    rows = spark.table("units").where("labelled").select("doc_id", "engine", "low", F.expr("n_tokens div 1000").alias("bin"))
-    return sample.following(rows, "engine", "bin", "low", 4, 1.5, 9, "doc_id").select("doc_id", "low")
+    rows = spark.table("units").where("labelled").select("doc_id", "engine", "low", "n_tokens")
+    return sample.following_lengths(rows, "engine", "n_tokens", "low", 4, 1.5, 4, 9, "doc_id").select("doc_id", "low")
 
 
 @query("w11_systematic_sample", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM units) WHERE i IN (SELECT floor(k * (SELECT count(*) FROM units) / 24.0)::BIGINT FROM range(24) t(k))")

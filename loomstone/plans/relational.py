@@ -225,7 +225,10 @@ def _(spark):
     return spark.table("part").select("p_name", (n.rlike("^[A-Z][A-Z0-9_ ]*$") & F.exists(F.array(F.lit("ED"), F.lit("ING")), lambda w: F.contains(n, w))).alias("hit"))
 
 
-plan("p18_routing", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN check LIKE 'size-%' THEN 'metric' WHEN check LIKE 'legal-%' THEN 'error' WHEN o < 500 THEN 'finding' ELSE 'other' END AS kind FROM findings) GROUP BY kind", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN \"check\" LIKE 'size-%' THEN 'metric' WHEN \"check\" LIKE 'legal-%' THEN 'error' WHEN o < 500 THEN 'finding' ELSE 'other' END AS kind FROM findings) GROUP BY kind")
+#: Diagnostics of a file: some are errors, some lie in other files or nowhere, some come from the compiler, some carry metrics.
+_DIAGNOSTICS = "SELECT doc_id, CASE WHEN o % 5 = 0 THEN 'Error' ELSE 'Warning' END AS level, o % 7 > 0 AS main, CASE WHEN o % 11 = 0 THEN NULL ELSE o END AS o, CASE WHEN o % 13 = 0 THEN concat('compiler-', {c}) ELSE {c} END AS name FROM findings"
+_ROUTE = "SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, CASE WHEN level = 'Error' AND main AND o IS NOT NULL THEN 'error in the file' WHEN level = 'Error' THEN 'error elsewhere' WHEN NOT main OR o IS NULL OR name LIKE 'compiler-%' THEN 'ignored' WHEN name LIKE 'size-%' THEN 'metric' ELSE 'finding' END AS kind FROM ({d})) GROUP BY kind"
+plan("p18_routing", _ROUTE.format(d=_DIAGNOSTICS.format(c="check")), _ROUTE.format(d=_DIAGNOSTICS.format(c='"check"')))
 
 
 @query("p19_edits_inside", "SELECT doc_id, r, bool_and(o >= s AND o + 12 <= e) AS usable FROM findings JOIN ranges USING (doc_id) WHERE o >= s AND o < e GROUP BY doc_id, r")
@@ -235,7 +238,8 @@ def _(spark):
     return edits.select("doc_id", "r", edits_inside(F.col("fix"), F.col("s"), F.col("e")).alias("usable"))
 
 
-plan("p20_validation", "SELECT doc_id, CASE WHEN trim(code) = '' THEN 'empty' WHEN code LIKE '%###%' THEN 'marker' WHEN n_tokens > 3904 THEN 'budget' END AS reject_reason FROM units")
+_REASON = "CASE WHEN trim(code) = '' THEN 'no code' WHEN code LIKE '%###%' THEN 'control text in the code' WHEN {n} = 0 AND doc_id % 2 = 0 THEN 'no checks requested' WHEN doc_id % 23 = 0 THEN 'unknown role' WHEN n_tokens + 192 > 4096 THEN 'over the token budget' END"
+plan("p20_validation", f"SELECT doc_id, {_REASON.format(n='size(checks)')} AS reject_reason FROM units", f"SELECT doc_id, {_REASON.format(n='len(checks)')} AS reject_reason FROM units")
 
 
 @query("p21_exactly_one", "SELECT doc_id, engine FROM units WHERE doc_id = 7")
@@ -252,7 +256,8 @@ def _(spark):
 
 
 plan("p23_conditional_update", "SELECT id, system, CASE WHEN new_warning THEN NULL ELSE passed END AS cached, CASE WHEN new_warning THEN concat(want, '!') ELSE want END AS candidate FROM repairs")
-plan("p24_abstention", "SELECT doc_id, CASE WHEN NOT valid THEN 'invalid' WHEN n_tokens > 6000 THEN 'truncated' WHEN p_odd THEN 'unsupported' WHEN NOT (p_low OR p_tox) THEN 'nothing requested' ELSE 'generated' END AS status FROM flags")
+_STATUS = "CASE WHEN NOT valid THEN 'invalid answer' WHEN n_tokens > 6000 THEN 'truncated' WHEN p_odd THEN 'unsupported' WHEN NOT (p_low OR p_tox) THEN 'nothing requested' WHEN doc_id % 17 = 0 THEN 'parse error' WHEN doc_id % 19 = 0 THEN 'function count' ELSE 'generated' END"
+plan("p24_abstention", f"SELECT doc_id, {_STATUS} AS status FROM flags")
 
 
 _USES = "CASE p_partkey % 6 WHEN 0 THEN 'CALL (1);' WHEN 1 THEN concat('ALONE; // ', p_name) WHEN 2 THEN 'ALONE + 1;' WHEN 3 THEN 'VALUE' WHEN 4 THEN 'OTHER(2);' ELSE 'BOTH;' END"
@@ -338,7 +343,10 @@ def _(spark):
     return u.select("doc_id", "h").join(called, F.col("h") == F.col("g")).select("doc_id", "n")
 
 
-plan("j26_matched_cohort", "SELECT r.id, r.system FROM repairs r LEFT SEMI JOIN (SELECT id FROM repairs WHERE system = 'tool' AND passed) t ON r.id = t.id", "SELECT id, system FROM repairs WHERE id IN (SELECT id FROM repairs WHERE system = 'tool' AND passed)")
+_PASSED = "SELECT id FROM repairs WHERE system = 'tool' AND passed"
+#: Ids that only the cohort or only the record has: none, or the comparison would mix rows.
+_STRANGE = f"(SELECT count(*) FROM (({_PASSED} EXCEPT SELECT id FROM repairs WHERE system = 'base') UNION ALL (SELECT id FROM repairs WHERE system = 'adapter' AND id IN ({_PASSED}) EXCEPT {_PASSED})))"
+plan("j26_matched_cohort", f"SELECT r.id, r.system, {_STRANGE} AS strange FROM repairs r WHERE r.id IN ({_PASSED})")
 
 plan("so01_split_overlap", "SELECT kind, a, b, count(*) AS n FROM (SELECT kind, h, min(split) AS a, max(split) AS b FROM (SELECT 'engine' AS kind, engine AS h, split FROM units UNION ALL SELECT 'text', md5(code), split FROM units) GROUP BY kind, h HAVING count(DISTINCT split) > 1) GROUP BY kind, a, b")
 

@@ -217,7 +217,17 @@ def _(spark):
     return spark.table("pages").select("page_id", T.path_key(F.replace("url", F.lit("/"), F.lit("\\"))).alias("k"))
 
 
-plan("sc30_regex_catalogue", r"SELECT page_id, size(regexp_extract_all(html, '<p>', 0)) AS paragraphs, regexp_extract(html, 'lang=.([a-z]+)', 1) AS lang FROM pages", r"SELECT page_id, len(regexp_extract_all(html, '<p>'))::INTEGER AS paragraphs, regexp_extract(html, 'lang=.([a-z]+)', 1) AS lang FROM pages")
+_LINES = "CASE p_partkey % 6 WHEN 0 THEN concat(' #  include <', p_brand, '/x.h>') WHEN 1 THEN concat('# define M', p_partkey, '(x) x') WHEN 2 THEN concat(chr(39), 'a/', p_partkey, '.h', chr(39), ' file not found') WHEN 3 THEN concat('unknown type name ', chr(39), 'T', p_partkey, chr(39)) WHEN 4 THEN concat('class LIB_EXPORT C', p_partkey, ' {') ELSE concat(p_size, ' statements') END"
+#: name: pattern with one group, in a form that both dialects read.
+_CATALOGUE = {"include": r'^[ \t]*#[ \t]*include[ \t]*[<"]([^>"]+)', "macro": r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_][A-Za-z0-9_]*)", "missing": "^.([^ ]+). file not found", "unknown": "unknown type name .([A-Za-z0-9_]+)", "export": r"^(?:class|struct)[ \t]+([A-Z][A-Z0-9_]*_EXPORT)\b", "metric": "^([0-9]+) [a-z]+$"}
+_EXTRACTED = ", ".join(f"regexp_extract(line, '{r}', 1) AS {n}_" for n, r in _CATALOGUE.items())
+
+
+@query("sc30_regex_catalogue", f"SELECT p_partkey, {_EXTRACTED} FROM (SELECT p_partkey, {_LINES} AS line FROM part)")
+def _(spark):
+    return spark.table("part").select("p_partkey", F.expr(_LINES).alias("line")).select("p_partkey", *(F.regexp_extract("line", r, 1).alias(f"{n}_") for n, r in _CATALOGUE.items()))
+
+
 
 
 @query("sc32_token_count", r"SELECT p_partkey, len(regexp_extract_all(p_name || ' (' || p_type || ')', '\w+|[^\w\s]'))::BIGINT AS n FROM part")
@@ -225,7 +235,9 @@ def _(spark):
     return spark.table("part").select("p_partkey", T.token_count(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")"))).alias("n"))
 
 
-plan("sc33_token_comparison", "SELECT count(*) AS n, cast(count_if(a <> b) AS bigint) AS mismatched, cast(count_if(b <= 2000) AS bigint) AS retained FROM (SELECT n_tokens AS a, length(code) AS b FROM units)")
+_STORED = "SELECT doc_id, n_tokens + CASE WHEN doc_id % 100 = 0 THEN 1 ELSE 0 END AS stored, length(code) AS fresh FROM units"
+_COMPARED = "SELECT count(*) AS n, count_if(stored <> fresh) AS mismatched, {ids} AS mismatches, count_if(fresh <= 4000) AS retained, {out} AS excluded FROM ({rows})"
+plan("sc33_token_comparison", _COMPARED.format(ids="array_sort(collect_list(CASE WHEN stored <> fresh THEN doc_id END))", out="array_sort(collect_list(CASE WHEN fresh > 4000 THEN doc_id END))", rows=_STORED), _COMPARED.format(ids="list_sort(list(doc_id) FILTER (WHERE stored <> fresh))", out="list_sort(list(doc_id) FILTER (WHERE fresh > 4000))", rows=_STORED))
 
 
 @query("w12_line_of_offset", "SELECT doc_id, o, line_no AS line FROM findings")
