@@ -7,8 +7,9 @@ import base64
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,6 +62,26 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
 
 
+def _packed(tokens: list[int]) -> bytes:
+    """Ids as bytes: how many each has, two or four, then the ids, low bytes first."""
+    ids = np.asarray(tokens, np.int64)
+    kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
+    return bytes([int(kind[2])]) + ids.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).tolist()
+
+
+def unpacked(packed: Column) -> Column:
+    """The same ids as an array."""
+    digits, width = F.hex(packed), F.conv(F.substring(F.hex(packed), 1, 2), 16, 10).cast("int")
+    byte = lambda i, k: F.substr(digits, (3 + 2 * (i * width + k)).cast("int"), F.lit(2))
+    one = lambda i: F.conv(F.when(width == 2, F.concat(byte(i, 1), byte(i, 0))).otherwise(F.concat(*(byte(i, k) for k in (3, 2, 1, 0)))), 16, 10).cast("int")
+    n = ((F.octet_length(packed) - 1) / width).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<int>"))
+
+
 def _batch(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], [name for name, _ in fields])
@@ -128,9 +149,9 @@ def _nodes(path: str, pattern: str):
                     body, at = formatted(role, text)
                     tokens = encoder.encode_ordinary(body)
                     loss = [{"start": at, "end": len(body) - len(END)}] if role == "assistant" else []
-                    rows.append((chain, parent or None, conv, steps + depth.to_bytes(4, "big") + b"\1", role, tokens, len(tokens), loss))
+                    rows.append((chain, parent or None, conv, steps + depth.to_bytes(4, "big") + b"\1", role, _packed(tokens), len(tokens), loss))
                 depth += 1
-            yield _batch(rows, [("node", pa.binary()), ("parent", pa.binary()), ("owner", batch["conv"].type), ("place", pa.binary()), ("role", pa.string()), ("tokens", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("loss", _SPANS)])
+            yield _batch(rows, [("node", pa.binary()), ("parent", pa.binary()), ("owner", batch["conv"].type), ("place", pa.binary()), ("role", pa.string()), ("packed", pa.binary()), ("n_tokens", pa.int64()), ("loss", _SPANS)])
 
     return run
 
@@ -179,7 +200,8 @@ def _ancestors(batches):
 def chat_tree(turns: DataFrame, path: str, pattern: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes, paths) of the prefix tree.
 
-    nodes has a row for each distinct prefix of a conversation: node, parent, role, tokens (of the formatted turn), start (its place
+    nodes has a row for each distinct prefix of a conversation: node, parent, role, tokens (of the formatted turn; packed is the same in
+    two or four bytes each), start (its place
     in the depth-first token stream), position (of its first token along its own conversation), ancestors (the stream intervals
     it attends to besides itself) and loss (spans of the decoded turn that are trained on: the content of assistant turns). paths has
     conv, node for every turn; a conversation's nodes in order of position, decoded, are its formatted form.
@@ -204,7 +226,7 @@ def chat_tree(turns: DataFrame, path: str, pattern: str, conv: str = "conv_id",
     told = branches.select("conv", *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in (*order, "text")), "since", "steps")
     told = told.union(rows.select("conv", *order, "text", F.lit(None).cast("bigint"), F.lit(None).cast("binary"))).withColumn("later", F.col("since").isNull())
     told = told.repartition("conv").sortWithinPartitions("conv", "later", *order)
-    schema = f"node binary, parent binary, owner {kind}, place binary, role string, tokens array<int>, n_tokens bigint, loss {_SPAN}"
+    schema = f"node binary, parent binary, owner {kind}, place binary, role string, packed binary, n_tokens bigint, loss {_SPAN}"
     loose = tables.written(told.mapInArrow(_nodes(path, pattern), schema), "nodes")
     stream = loose.repartitionByRange("place").sortWithinPartitions("place").drop("place").withColumn("part", F.spark_partition_id())
     stream = tables.written(stream.mapInArrow(_running, f"{schema.replace('place binary, ', '')}, part int, within bigint"), "stream")
@@ -216,7 +238,7 @@ def chat_tree(turns: DataFrame, path: str, pattern: str, conv: str = "conv_id",
     along = paths.join(nodes.select(F.col("node").alias("of"), "owner", "start", "n_tokens"), F.col("node") == F.col("of"))
     along = along.select("conv", "depth", "node", F.col("conv").eqNullSafe(F.col("owner")).alias("owned"), "start", "n_tokens")
     seen = along.repartition("conv").sortWithinPartitions("conv", "depth").mapInArrow(_ancestors, f"of binary, position bigint, ancestors {_SPAN}")
-    full = nodes.join(seen, F.col("node") == F.col("of")).select("node", "parent", "role", "tokens", "start", "position", "ancestors", "loss")
+    full = nodes.join(seen, F.col("node") == F.col("of")).select("node", "parent", "role", unpacked(F.col("packed")).alias("tokens"), "packed", "start", "position", "ancestors", "loss")
     return full, paths.select("conv", "node")
 
 
@@ -226,8 +248,8 @@ def read_back(nodes: DataFrame, paths: DataFrame, path: str) -> DataFrame:
     Turns are decoded from tokens in order of position. That each attends to exactly the tokens of the turns before it is checked on
     the way: a tree whose positions or intervals do not fit raises.
     """
-    rows = paths.join(nodes.select(F.col("node").alias("of"), "tokens", "start", "position", "ancestors", "loss"), F.col("node") == F.col("of"))
-    rows = rows.select("conv", "tokens", "start", "position", "ancestors", "loss")
+    rows = paths.join(nodes.select(F.col("node").alias("of"), "packed", "start", "position", "ancestors", "loss"), F.col("node") == F.col("of"))
+    rows = rows.select("conv", "packed", "start", "position", "ancestors", "loss")
     kind = rows.schema["conv"].dataType.simpleString()
 
     def run(batches):
@@ -240,7 +262,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, path: str) -> DataFrame:
 
         for batch in batches:
             fields[0], out = ("conv", batch["conv"].type), []
-            for conv, tokens, start, position, ancestors, loss in zip(*(batch[c].to_pylist() for c in ("conv", "tokens", "start", "position", "ancestors", "loss")), strict=True):
+            for conv, packed, start, position, ancestors, loss in zip(*(batch[c].to_pylist() for c in ("conv", "packed", "start", "position", "ancestors", "loss")), strict=True):
                 if state is None or conv != now:
                     if state is not None:
                         out.append(row())
@@ -248,6 +270,7 @@ def read_back(nodes: DataFrame, paths: DataFrame, path: str) -> DataFrame:
                 trail = state[6]
                 if position != trail.tokens or ancestors != trail.rows():
                     raise ValueError(f"a turn of conversation {conv} does not attend to the turns before it")
+                tokens = _unpacked(packed)
                 trail.add(start, len(tokens))
                 text = b"".join(map(piece.__getitem__, tokens)).decode()
                 for role, content in state[5].feed(text):

@@ -366,6 +366,9 @@ def test_chat_tree(spark):
         assert got[c].formatted_chars == sum(len(chat_tree.formatted(r, t)[0]) for r, t in own)
     tree = {bytes(r.node): r for r in nodes.collect()}
     assert len(tree) == len({tuple(own[: k + 1]) for own in convs.values() for k in range(len(own))})
+    assert all(chat_tree._unpacked(bytes(r.packed)) == r.tokens for r in tree.values())
+    wide = spark.createDataFrame([(bytearray(chat_tree._packed(x)),) for x in ([], [1, 65535], [70000, 3])], "p binary").select(chat_tree.unpacked(F.col("p")).alias("t")).collect()
+    assert [r.t for r in wide] == [[], [1, 65535], [70000, 3]]
     order = sorted(tree.values(), key=lambda r: r.start)
     at = 0
     for r in order:  # one gapless stream, and each node attends to exactly its ancestors
