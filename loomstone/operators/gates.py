@@ -133,10 +133,16 @@ def verify_cleaned(rows: DataFrame, matched: dict[str, DataFrame], code: Callabl
     )
 
 
-def repair_gate(diagnostics: DataFrame, key: str, requested: str) -> DataFrame:
-    """key, status, added from diagnostics(key, phase, chk, message): inconclusive if the requested check was not there before,
-    rejected if it is still there or a diagnostic was added (counted as a bag), else passed."""
-    counts = diagnostics.groupBy(key, "chk", "message").agg((F.count_if(F.col("phase") == "after") - F.count_if(F.col("phase") == "before")).alias("more"), F.count_if((F.col("phase") == "before") & (F.col("chk") == requested)).alias("b"), F.count_if((F.col("phase") == "after") & (F.col("chk") == requested)).alias("r"))
-    sums = counts.groupBy(key).agg(F.sum(F.greatest("more", F.lit(0))).alias("added"), F.sum("b").alias("b"), F.sum("r").alias("r"))
-    status = F.when(F.col("b") == 0, "inconclusive").when((F.col("r") > 0) | (F.col("added") > 0), "rejected").otherwise("passed_static_validation")
+def repair_gate(diagnostics: DataFrame, key: str, requested: str, witness: str | None = None) -> DataFrame:
+    """key, status, added from diagnostics(key, phase, chk, message): inconclusive if the requested check was not there before, or if the
+    witness, a check that every analysed function reports, is missing in either phase; rejected if the requested check is still there
+    or a diagnostic was added (counted as a bag, without the witness); else passed."""
+    phase = lambda name, chk: F.count_if((F.col("phase") == name) & (F.col("chk") == chk))
+    own = F.lit(False) if witness is None else F.col("chk") == witness
+    more = F.when(own, 0).otherwise(F.count_if(F.col("phase") == "after") - F.count_if(F.col("phase") == "before"))
+    seen = {"b": phase("before", requested), "r": phase("after", requested)} | ({} if witness is None else {"x": phase("before", witness), "y": phase("after", witness)})
+    counts = diagnostics.groupBy(key, "chk", "message").agg(more.alias("more"), *(c.alias(n) for n, c in seen.items()))
+    sums = counts.groupBy(key).agg(F.sum(F.greatest("more", F.lit(0))).alias("added"), *(F.sum(n).alias(n) for n in seen))
+    absent = (F.col("b") == 0) if witness is None else (F.col("b") == 0) | (F.col("x") == 0) | (F.col("y") == 0)
+    status = F.when(absent, "inconclusive").when((F.col("r") > 0) | (F.col("added") > 0), "rejected").otherwise("passed_static_validation")
     return sums.select(key, status.alias("status"), "added")

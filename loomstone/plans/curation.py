@@ -149,6 +149,21 @@ def _(spark):
     return gates.repair_gate(d, "id", "style-shout")
 
 
+_SEEN = f"SELECT id, phase, chk, message FROM ({_PHASES}) UNION ALL SELECT doc_id // 2, CASE WHEN doc_id % 2 = 0 THEN 'before' ELSE 'after' END, 'size', 'size' FROM units WHERE doc_id % 7 <> 0"
+
+
+@query("q05_repair_gate_witness", f"""WITH d AS ({_SEEN}), n AS (SELECT id, chk, message, count_if(phase = 'after') - count_if(phase = 'before') AS added FROM d WHERE chk <> 'size' GROUP BY ALL),
+a AS (SELECT id, sum(greatest(added, 0))::BIGINT AS added FROM n GROUP BY id),
+w AS (SELECT id, count_if(phase = 'before' AND chk = 'style-shout') AS b, count_if(phase = 'after' AND chk = 'style-shout') AS r, count_if(phase = 'before' AND chk = 'size') AS x, count_if(phase = 'after' AND chk = 'size') AS y FROM d GROUP BY id)
+SELECT w.id, CASE WHEN b = 0 OR x = 0 OR y = 0 THEN 'inconclusive' WHEN r > 0 OR coalesce(a.added, 0) > 0 THEN 'rejected' ELSE 'passed_static_validation' END AS status, coalesce(a.added, 0) AS added FROM w LEFT JOIN a USING (id)""")
+def _(spark):
+    """As q05_repair_gate, where the size of every analysed function is reported too, and must be in both phases."""
+    phase = F.when(F.col("doc_id") % 2 == 0, "before").otherwise("after").alias("phase")
+    d = spark.table("findings").select(F.expr("doc_id div 2").alias("id"), phase, F.col("check").alias("chk"), "message")
+    sizes = spark.table("units").where("doc_id % 7 <> 0").select(F.expr("doc_id div 2").alias("id"), phase, F.lit("size").alias("chk"), F.lit("size").alias("message"))
+    return gates.repair_gate(d.union(sizes), "id", "style-shout", "size")
+
+
 @query("q06_syntax_states", "SELECT before_ok, after_ok, count(*) AS n, CASE WHEN before_ok AND NOT after_ok THEN min(p_partkey) END AS first_broken FROM (SELECT p_partkey, p_partkey % 4 > 0 AS before_ok, p_partkey % 6 > 0 AS after_ok FROM part) GROUP BY before_ok, after_ok")
 def _(spark):
     """Syntax before and after an edit, and the first text that the edit broke."""

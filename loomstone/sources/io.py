@@ -37,11 +37,13 @@ def read_tolerant(lines: DataFrame, required: list[str], column: str = "value")
     return rows.withColumn("reject", F.when(value.isNull(), "not JSON").when(lacks, "missing key"))
 
 
-def source_files(spark: SparkSession, root: str, suffixes: list[str], exclude_dirs: list[str], max_kb: int) -> DataFrame:
-    """path, length of source files below root: by suffix, outside excluded directories, up to a size, in path order."""
+def source_files(spark: SparkSession, root: str, suffixes: list[str], exclude_dirs: list[str], max_kb: int, prefixes: list[str] = ()) -> DataFrame:
+    """path, length of source files below root: by suffix, outside excluded directories and prefixes of the path from root, up to a
+    size, in path order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    below = F.substring_index("path", f"{root.rstrip('/').split('/')[-1]}/", -1)
     good = F.exists(F.array(*map(F.lit, suffixes)), lambda s: F.endswith(F.lower("path"), s))
-    return files.where(good & ~excluded(F.col("path"), exclude_dirs, []) & (F.col("length") <= max_kb * 1024)).orderBy("path")
+    return files.where(good & ~excluded(below, exclude_dirs, list(prefixes)) & (F.col("length") <= max_kb * 1024)).orderBy("path")
 
 
 def excluded(path: Column, dirs: list[str], prefixes: list[str]) -> Column:
