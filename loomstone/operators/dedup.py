@@ -53,26 +53,14 @@ def shared_groups(rows: DataFrame, key: str, values: str, dense: bool = True) ->
     """key, group: rows that share any value, directly or through others, are one group; groups are numbered by smallest key.
 
     Each value links its rows to its smallest one, so a value that many rows share costs as many links as rows, never pairs.
-    Labels then travel along links, with a jump to the label's own label each round, until nothing changes.
     """
+    from loomstone.operators.components import components
+
     pairs = saved(rows.select(F.col(key).alias("id"), F.explode(values).alias("v")))
     low = pairs.groupBy("v").agg(F.min("id").alias("hub")).withColumnRenamed("v", "w")
-    links = saved(pairs.join(low, F.col("v") == F.col("w")).where("id > hub").select("id", "hub").distinct())
-    both = links.union(links.select("hub", "id"))
-    labels = before = saved(links.select("id").union(links.select("hub")).distinct().withColumn("root", F.col("id")))
-    while True:
-        near = both.join(labels.select(F.col("id").alias("hub"), "root"), "hub").groupBy("id").agg(F.min("root").alias("near"))
-        step = labels.join(near, "id").select("id", F.least("root", "near").alias("next"), "root")
-        far = labels.select(F.col("id").alias("next"), F.col("root").alias("far"))
-        new = saved(step.join(far, "next").select("id", F.least("next", "far").alias("root"), (F.least("next", "far") < F.col("root")).alias("moved")))
-        done = new.where("moved").isEmpty()
-        dropped(before)
-        before, labels = new, new.select("id", "root")
-        if done:
-            break
+    labels = components(pairs.join(low, F.col("v") == F.col("w")).where("id > hub").select("id", "hub"), "id", "hub")
+    out = rows.select(F.col(key).alias("id")).join(labels, F.col("id") == F.col("node"), "left").select(F.col("id").alias(key), F.coalesce("root", "id").alias("group"))
     dropped(pairs)
-    dropped(links)
-    out = rows.select(F.col(key).alias("id")).join(labels, "id", "left").select(F.col("id").alias(key), F.coalesce("root", "id").alias("group"))
     if not dense:
         return out
     return numbered(out, "group")
