@@ -184,20 +184,6 @@ def test_jaccard_join_on_a_hot_near_copy_group(spark):
     assert [got[i].component_id for i in range(len(group))] == roots
 
 
-def test_components(spark):
-    rng = random.Random(4)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(190)] + [(400 + i, 401 + i) for i in range(60)] + [(7, 7)]
-    df = spark.createDataFrame(links, "hub bigint, node bigint").repartition(7)
-    old, parity_join.AT_ONCE = parity_join.AT_ONCE, 3
-    try:
-        got = {r.node: r.root for r in parity_join.components(df).collect()}
-    finally:
-        parity_join.AT_ONCE = old
-    assert all(got[a] == got[b] for a, b in links if a != b) and all(got[got[x]] == got[x] <= x for x in got)
-    assert len({got[x] for x in range(400, 461)}) == 1 and got[460] == 400
-    assert parity_join.components(df.limit(0)).count() == 0
-
-
 def test_piece_bound():
     """Linked sets always share an offered key, whatever their sizes; of finer pieces, whatever order of rarity they are kept in."""
     rng = np.random.default_rng(1)
