@@ -107,17 +107,23 @@ def syntax_of(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(sound, len(found), len(found) == 1) for found, sound in rows], columns=["parse_ok", "function_definitions", "single_function"])
 
 
+#: A macro's definition, a call, and a macro alone on its line, perhaps with a comment behind it (fixed values).
+DEFINITION = r"(?md)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*\(?)"
+CALL = r"^([A-Za-z_]\w*)[ \t]*\("
+ALONE = r"(?d)^([A-Za-z_]\w*)[ \t]*;?[ \t]*(?://[^\n]*)?\r?(?:\n|\z)"
+
+
 def defined_macros(code: Column) -> Column:
     """(name, function_like) of each macro that a text defines."""
-    found = F.regexp_extract_all(code, F.lit(r"(?md)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*\(?)"), 1)
+    found = F.regexp_extract_all(code, F.lit(DEFINITION), 1)
     return F.transform(found, lambda x: F.struct(F.rtrim(x, F.lit("(")).alias("name"), x.endswith("(").alias("function_like")))
 
 
 def at_macro(code: Column, offset: Column, function_like: Column, object_like: Column) -> Column:
     """Whether a place, counted in characters, is a call of a function-like macro, or an object-like one alone on its line."""
     rest = F.substr(code, (offset + 1).cast("int"))
-    called = F.regexp_extract(rest, r"^([A-Za-z_]\w*)[ \t]*\(", 1)
+    called = F.regexp_extract(rest, CALL, 1)
     before = F.substring_index(F.substr(code, F.lit(1), offset.cast("int")), "\n", -1)
-    alone = F.regexp_extract(rest, r"(?d)^([A-Za-z_]\w*)[ \t]*;?[ \t]*(?://[^\n]*)?\r?(?:\n|\z)", 1)
+    alone = F.regexp_extract(rest, ALONE, 1)
     has = lambda names, x: (x != "") & F.coalesce(F.array_contains(names, x), F.lit(False))
     return has(function_like, called) | ((F.btrim(before, F.lit(" \t\r\f\v")) == "") & has(object_like, alone))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstone.functions import text as T
-from loomstone.functions.source import at_macro, defined_macros
+from loomstone.functions.source import STANDARD_MACROS, at_macro, defined_macros
 from loomstone.operators import policy
 from loomstone.operators.dedup import scratch
 from loomstone.operators.spans import edits_inside, points_in_ranges
@@ -261,10 +261,10 @@ _STATUS = "CASE WHEN NOT valid THEN 'invalid answer' WHEN n_tokens > 6000 THEN '
 plan("p24_abstention", f"SELECT doc_id, {_STATUS} AS status FROM flags")
 
 
-_USES = "CASE p_partkey % 6 WHEN 0 THEN 'CALL (1);' WHEN 1 THEN concat('ALONE; // ', p_name) WHEN 2 THEN 'ALONE + 1;' WHEN 3 THEN 'VALUE' WHEN 4 THEN 'OTHER(2);' ELSE 'BOTH;' END"
+_USES = "CASE p_partkey % 6 WHEN 0 THEN 'CALL (1);' WHEN 1 THEN concat('ALONE; // ', p_name) WHEN 2 THEN 'ALONE + 1;' WHEN 3 THEN 'VALUE' WHEN 4 THEN CASE WHEN p_size % 2 = 0 THEN 'assert(2);' ELSE 'other(2);' END ELSE 'BOTH;' END"
 
 
-@query("p16_macro_origin", "SELECT p_partkey, p_partkey % 7 > 0 AND p_partkey % 6 IN (1, 3) OR p_partkey % 6 = 0 AS macro FROM part")
+@query("p16_macro_origin", "SELECT p_partkey, p_partkey % 7 > 0 AND p_partkey % 6 IN (1, 3) OR p_partkey % 6 = 0 OR p_partkey % 6 = 4 AND p_size % 2 = 0 AS macro FROM part")
 def _(spark):
     """Whether a finding's place is a macro's: a call of one with parameters, or one without alone on its line."""
     defines = spark.sql("SELECT '#define CALL(x) x\n  # define ALONE 1\n#define VALUE 2\n#define BOTH(x) 1\n#define BOTH 1' AS text")
@@ -272,7 +272,7 @@ def _(spark):
     sets = names.agg(F.collect_list(F.when(F.col("called"), F.col("name"))).alias("called"), F.collect_list(F.when(~F.col("called"), F.col("name"))).alias("alone"))
     start = F.when(F.col("p_partkey") % 7 == 0, "  a = ").otherwise("\t ")
     rows = spark.table("part").select("p_partkey", F.concat(F.lit("// x\n"), start, F.expr(_USES), F.lit("\nend")).alias("code"), (F.length(start) + 5).alias("o"))
-    return rows.crossJoin(F.broadcast(sets)).select("p_partkey", at_macro(F.col("code"), F.col("o"), F.col("called"), F.col("alone")).alias("macro"))
+    return rows.crossJoin(F.broadcast(sets)).select("p_partkey", at_macro(F.col("code"), F.col("o"), F.array_union("called", F.array(*map(F.lit, STANDARD_MACROS))), F.col("alone")).alias("macro"))
 
 
 _SPLITS = "(SELECT 'src17' AS engine, 'val' AS split UNION ALL SELECT 'src18', 'test' UNION ALL SELECT 'src19', 'test')"
