@@ -76,9 +76,13 @@ def _(spark):
     return files.groupBy(kind.alias("kind")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-@query("src10_yaml_control_chars", r"SELECT page_id, length(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]', '', 'g'))::BIGINT AS n FROM pages")
+#: Control characters that YAML forbids (fixed values).
+_FORBIDDEN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+
+
+@query("src10_yaml_control_chars", f"SELECT page_id, length(regexp_replace(html, '{_FORBIDDEN}', '', 'g'))::BIGINT AS n FROM pages")
 def _(spark):
-    return spark.table("pages").select("page_id", F.length(F.regexp_replace("html", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")).cast("bigint").alias("n"))
+    return spark.table("pages").select("page_id", F.length(F.regexp_replace("html", _FORBIDDEN, "")).cast("bigint").alias("n"))
 
 
 @query("src11_optional_artifact", "SELECT unnest(['missing', 'half', 'whole']) AS artifact, unnest(['pending', 'pending', 'present']) AS note, unnest([0, 0, (SELECT count(*) FROM nation)]) AS n")

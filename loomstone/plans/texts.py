@@ -11,6 +11,7 @@ from loomstone.operators import policy
 from loomstone.operators.spans import apply_edits, edits_clash, greedy_fixes, splice_functions
 from loomstone.plans.catalog import plan, query
 
+#: White space and glued directives as functions/text.py has them, for the other dialect (fixed values).
 _WS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _NORM = f"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))"
 
