@@ -59,16 +59,24 @@ VIEWS: dict[str, tuple[str, str]] = {
 }
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """When each table was last written, as far as the file system tells."""
+    fs, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    paths = [fs.Path(f"{sf_dir}/{name}.parquet") for name in TABLES]
+    return sf_dir, *(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+
+
 def views(spark: SparkSession, sf_dir: str) -> None:
-    """Registers tables and roles as temporary views, once for a session and folder; nothing is read yet."""
-    if getattr(spark, "_loomstone_views", None) == sf_dir:
+    """Registers tables and roles as temporary views, once for a session and folder, and again when a table is written anew."""
+    stamp = _stamp(spark, sf_dir)
+    if getattr(spark, "_loomstone_views", None) == stamp:
         return
     spark._loomstone_views = None
     for name in TABLES:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     for name, (sql, _) in VIEWS.items():
         spark.sql(sql).createOrReplaceTempView(name)
-    spark._loomstone_views = sf_dir
+    spark._loomstone_views = stamp
 
 
 def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

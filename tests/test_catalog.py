@@ -1,4 +1,4 @@
-"""Every query of the library against DuckDB on the smallest tables; those without SQL must run and give a schema."""
+"""Every query of the library against DuckDB on the smallest tables; those without SQL must give rows."""
 
 import pytest
 from compare import both, connection
@@ -20,4 +20,4 @@ def test_query(spark, con, name):
         ours, theirs = both(df, con, catalog.ORACLES[name])
         assert ours == theirs
     else:
-        assert df.columns and df.count() >= 0
+        assert df.columns and df.count() > 0  # what it holds is tested in test_unexpressible.py
