@@ -264,11 +264,11 @@ _WITHIN = "SELECT 'exact' AS name, count_if(e = 0) AS n FROM ({0}) UNION ALL SEL
 plan("a47_severity_accuracy", _WITHIN.format(_ERRORS, "gold div 20", "pred div 20"), _WITHIN.format(_ERRORS, "gold // 20", "pred // 20"))
 
 
-@query("a48_weighted_average", "SELECT " + ", ".join(f"round(sum({c} * support) / sum(support), 9) AS {c}" for c in ("precision", "recall", "f1")) + f" FROM (SELECT support, {RATES} FROM ({_LABELS}))")
+@query("a48_weighted_average", "SELECT " + ", ".join(f"round(sum({c} * support) / sum(support), 6) AS {c}" for c in ("precision", "recall", "f1")) + f" FROM (SELECT support, {RATES} FROM ({_LABELS}))")
 def _(spark):
     """Means over labels, weighted by how often each occurs."""
     rows = metrics.per_label(spark.table("preds"))
-    return rows.agg(*(F.round(F.sum(F.col(c) * F.col("support")) / F.sum("support"), 9).alias(c) for c in ("precision", "recall", "f1")))
+    return rows.agg(*(F.round(F.sum(F.col(c) * F.col("support")) / F.sum("support"), 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
 @query("a49_pivot", "SELECT engine, count_if(system = 'adapter' AND passed) AS adapter, count_if(system = 'base' AND passed) AS base, count_if(system = 'tool' AND passed) AS tool FROM repairs GROUP BY engine")
