@@ -143,9 +143,13 @@ def token_count(c: Column) -> Column:
 
 
 def windows(lines: Column, n: int = 6) -> Column:
-    """Digests of every n consecutive lines; none if there are fewer."""
-    some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - n + 1, F.lit(1))), lambda i: F.md5(F.array_join(F.slice(lines, i, n), "\n")))
-    return F.when(F.size(lines) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+    """Digests of every n consecutive lines; none if there are fewer. The lines are bound once, or each window would split the text anew."""
+
+    def own(v: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(1), F.greatest(F.size(v) - n + 1, F.lit(1))), lambda i: F.md5(F.array_join(F.slice(v, i, n), "\n")))
+        return F.when(F.size(v) >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+
+    return F.get(F.transform(F.array(lines), own), 0)
 
 
 def code_lines(code: Column, least: int = 12, comments: bool = True) -> Column:
